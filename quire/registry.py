@@ -1,2 +1,5 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the reference's own operators, and their oracles."""
+
+from quire.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
