@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # The white space of the documents' origin, which is Unicode's.
 SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Stop words by language, in the order that settles ties.
 STOP_WORDS = {
     "en": "the and of to in is that for it with as on be by",
@@ -74,12 +76,21 @@ UNKNOWN_WEIGHT = 0.6
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def blanks(text: Column) -> Column:
+    """Every white-space character as a blank: a look-up for each character, no pattern."""
+    return F.translate(text, SPACES, " " * len(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """White space runs to one blank, none at the ends."""
-    return trim_all(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(blanks(text), " {2,}", " "))
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x{0000}-\x{007F}]+", "")
 
 
 def margin_key(text: Column) -> Column:
@@ -99,10 +110,11 @@ def count_of(text: Column, chars: str) -> Column:
 def token_estimate(text: Column, scale: float = 1.0) -> Column:
     """At least one; characters beyond the BMP count as two of no known script."""
     text = F.coalesce(text, F.lit(""))
-    known = [(count_of(text, chars), weight) for chars, weight in TOKEN_WEIGHTS]
-    ascii_ = count_of(text, r"\x{0000}-\x{007F}")
-    astral = count_of(text, r"\x{10000}-\x{10FFFF}")
-    rest = F.length(text) + astral - ascii_ - reduce(lambda a, b: a + b, [c for c, _ in known])
+    others = beyond_ascii(text)
+    known = [(count_of(others, chars), weight) for chars, weight in TOKEN_WEIGHTS]
+    ascii_ = F.length(text) - F.length(others)
+    astral = count_of(others, r"\x{10000}-\x{10FFFF}")
+    rest = F.length(others) + astral - reduce(lambda a, b: a + b, [c for c, _ in known])
     weighted = reduce(lambda a, b: a + b, [c * F.lit(w) for c, w in known] + [rest * F.lit(UNKNOWN_WEIGHT)])
     return F.greatest(F.lit(1), F.ceil((ascii_ / F.lit(3.0) + weighted) * F.lit(scale))).cast("long")
 
@@ -112,9 +124,12 @@ def script_sample(text: Column) -> Column:
     return F.regexp_replace(F.substring(text, 1, 8000), r"[\x{0000}-\x{0039}]+", "")
 
 
-def script_shares(sample: Column) -> dict[str, Column]:
+def script_shares(sample: Column, others: Column) -> dict[str, Column]:
+    """Shares of scripts in a sample, `others` being what of it is beyond ASCII; ASCII from U+0041 on counts as Latin."""
     total = F.length(sample)
-    return {name: F.when(total > 0, count_of(sample, chars) / total).otherwise(0.0) for name, (chars, _) in SCRIPTS.items()}
+    counts = {name: count_of(others, chars.replace(r"\x{0041}", r"\x{0080}")) for name, (chars, _) in SCRIPTS.items()}
+    counts["latin"] = counts["latin"] + total - F.length(others) - count_of(sample, ":-@")
+    return {name: F.when(total > 0, n / total).otherwise(0.0) for name, n in counts.items()}
 
 
 def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
@@ -124,9 +139,10 @@ def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
     """
     column = F.col(text)
     voters = [w.split() for w in STOP_WORDS.values()]
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower(column), r"[\p{P}\p{S}]+", " "), f"[{SPACE}]+"), lambda w: w != ""), 1, 600)
+    words = F.slice(F.filter(F.split(blanks(F.regexp_replace(F.lower(column), r"[\p{P}\p{S}]+", " ")), " "), lambda w: w != ""), 1, 600)
     df = df.withColumn("_sample", script_sample(column))
-    share = script_shares(F.col("_sample"))
+    df = df.withColumn("_others", beyond_ascii(F.col("_sample")))
+    share = script_shares(F.col("_sample"), F.col("_others"))
     df = df.withColumn("_share", F.struct(*[c.alias(k) for k, c in share.items()]))
     df = df.withColumn("_hits", F.filter(words, lambda w: w.isin(*{w for listed in voters for w in listed})))
     among = lambda listed: F.size(F.filter("_hits", lambda w: w.isin(*listed)))
@@ -148,7 +164,7 @@ def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
     )
     df = df.withColumn("_found", found)
     confidence = F.when(F.col("_found.lang").isNotNull(), F.greatest(F.col("_found.confidence"), F.lit(0.15))).otherwise(F.col("_found.confidence"))
-    return df.withColumn(out, F.struct(F.col("_found.lang").alias("lang"), confidence.alias("confidence"))).drop("_sample", "_share", "_hits", "_votes", "_best", "_all", "_top", "_found")
+    return df.withColumn(out, F.struct(F.col("_found.lang").alias("lang"), confidence.alias("confidence"))).drop("_sample", "_others", "_share", "_hits", "_votes", "_best", "_all", "_top", "_found")
 
 
 # Patterns of the skip rules, in RE2's and Java's common syntax.
@@ -168,9 +184,9 @@ SKIP = {
 }
 
 
-def skip_rule(text: Column) -> Column:
-    """The first rule by which a line isn't translated; null if it is."""
-    t = trim_all(text)
+def skip_rule(text: Column, t: Column | None = None) -> Column:
+    """The first rule by which a line isn't translated; null if it is. `t`: the line without white space at its ends."""
+    t = trim_all(text) if t is None else t
     is_ = lambda name: t.rlike(SKIP[name])
     score = F.when(is_("code_call"), 2).otherwise(0) + F.when(is_("code_keyword"), 2).otherwise(0) + 1 + F.when(t.contains(";"), 1).otherwise(0)
     code = is_("code_mark") & (score >= 2) & (count_of(t, "A-Za-z") > 4)
@@ -182,10 +198,21 @@ def skip_rule(text: Column) -> Column:
     )
 
 
-def redact(text: Column) -> Column:
-    for pattern, to in SECRETS:
-        text = F.regexp_replace(text, pattern.replace("<", r"(?<![A-Za-z0-9_])").replace(">", r"(?![A-Za-z0-9_])"), to)
-    return text
+# Strings of which a secret's pattern needs one: texts without them skip the pattern.
+_SIGNS = (("Bearer", "Basic"), ("sk-",), ("sk-or",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("AKIA",), ("AIza",), ("eyJ",), ("=", ":"), ("=", ":"), ("v1.",))
+
+
+def with_redacted(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the text without secrets: first a test whether there can be any, then, in another projection, the patterns in order.
+
+    Nested choices would double the work with each pattern, so each pattern is a step of its own.
+    """
+    df = df.withColumn(out, F.col(text))
+    for k, (pattern, to) in enumerate(SECRETS):
+        column = F.col(out)
+        there = reduce(lambda a, b: a | b, [F.contains(column, F.lit(x)) for x in _SIGNS[k]]) if k < len(_SIGNS) else column.rlike("[A-Za-z0-9+/]{32}")
+        df = df.withColumn(out, F.when(there, F.regexp_replace(column, pattern.replace("<", r"(?<![A-Za-z0-9_])").replace(">", r"(?![A-Za-z0-9_])"), to)).otherwise(column))
+    return df
 
 
 def html_to_text(html: Column) -> Column:

@@ -57,8 +57,8 @@ _TOKENS = lambda x: (
 
 @query(f"WITH l AS (SELECT lang, UNNEST(STRING_SPLIT(text, CHR(10))) AS line FROM documents), s AS (SELECT *, {_TRIM('line')} AS s FROM l) SELECT lang, COALESCE({_RULE}, 'none') AS rule, COUNT(*) AS n_lines, SUM({_TOKENS('line')})::BIGINT AS n_tokens FROM s GROUP BY ALL")
 def doc_skip_histogram(spark, d):
-    lines = t(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("lang", F.coalesce(tx.skip_rule(F.col("line")), F.lit("none")).alias("rule")).agg(F.count("*").alias("n_lines"), F.sum(tx.token_estimate(F.col("line"))).alias("n_tokens"))
+    lines = t(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("bare", tx.trim_all(F.col("line")))
+    return lines.groupBy("lang", F.coalesce(tx.skip_rule(F.col("line"), F.col("bare")), F.lit("none")).alias("rule")).agg(F.count("*").alias("n_lines"), F.sum(tx.token_estimate(F.col("line"))).alias("n_tokens"))
 
 
 _VOTES = ", ".join(f"LEN(LIST_FILTER(ws, lambda w: LIST_CONTAINS([{', '.join(repr(w) for w in words.split())}], w)))" for words in tx.STOP_WORDS.values())
@@ -92,7 +92,7 @@ def doc_hash_text(spark, d):
 @query(f"SELECT doc_id, {_COLLAPSE('text')} = '' AS blank, ROW_NUMBER() OVER (PARTITION BY {_COLLAPSE('text')} ORDER BY doc_id) > 1 AS duplicate FROM documents")
 def doc_first_occurrence(spark, d):
     """Duplicates by collapsed text. The first id of a key is a partial minimum; no key's rows meet in one task."""
-    docs = t(spark, d, "documents").select("doc_id", tx.collapse(F.col("text")).alias("key")).select("doc_id", (F.col("key") == "").alias("blank"), F.sha2("key", 256).alias("key"))
+    docs = t(spark, d, "documents").select("doc_id", F.sha2(tx.collapse(F.col("text")), 256).alias("key"), (tx.trim_all(F.col("text")) == "").alias("blank"))
     first = docs.groupBy("key").agg(F.min("doc_id").alias("first"))
     return docs.join(first, "key").select("doc_id", "blank", (F.col("doc_id") > F.col("first")).alias("duplicate"))
 
@@ -107,7 +107,7 @@ def _redact_sql(x: str) -> str:
 
 @query(f"SELECT doc_id, MD5({_redact_sql('text')}) AS md5, {_redact_sql('text')} <> text AS changed FROM documents")
 def doc_redact(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text", tx.redact(F.col("text")).alias("clean"))
+    docs = tx.with_redacted(t(spark, d, "documents").select("doc_id", "text"), "text", "clean")
     return docs.select("doc_id", F.md5(F.col("clean").cast("binary")).alias("md5"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
