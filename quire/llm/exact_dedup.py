@@ -77,6 +77,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.max("id") if keep == "largest" else F.min("id")
     # A large group may fill several partitions: its runs are put together by their digest, one row a run.
     groups = runs.where("kind = 1").groupBy("sha").agg(best.alias("keep_id"), F.sum("size").alias("group_size"))
+    groups = materialise(groups, "groups")  # so that the join has an exchange on either side, whose large partitions AQE splits
     kept: Column = F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))
     return runs.where("kind = 0").join(groups, "sha").select("id", "keep_id", "group_size", kept.alias("kept"), "sha")
 
