@@ -202,11 +202,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = merged.groupBy("root").agg(F.min("least").alias("linked_least"))
     linked = merged.select("fp", "root").join(least, "root").select("fp", "linked_least")
     answer = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_least", "least").alias("component_id"))
+    answer = materialise(answer, "answer")  # so that the join has an exchange on either side, whose large partitions AQE splits
     return fps.join(answer, "fp").select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component; rows with a null id stay only if their whole component has none."""
-    dropped = simhash_components(docs, id_col, text_col, **how).where("not (id <=> component_id)").select(F.col("id").alias("__quire_id"), "fp").distinct()
-    gone = dropped.select("__quire_id").distinct()
+    gone = simhash_components(docs, id_col, text_col, **how).where("not (id <=> component_id)").select(F.col("id").alias("__quire_id")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__quire_id"]), "left_anti")
