@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,13 +16,15 @@ from .runtime import raw, tune
 
 #: Hash buckets, embedding size, letters in a subword.
 BUCKETS, SIZE, SUBWORDS = 1 << 15, 16, (2, 3, 4)
+#: Of the rolling hash, modulo 2^32.
+FACTOR, MIXER = np.uint32(16_777_619), np.uint32(2_654_435_769)
 #: Bounds of the training sample: documents of a language, languages (the commonest).
 PER_LANG, MAX_LANGS = 400, 256
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Share of clean validation documents that the rejection threshold may cost.
 REJECTED = 0.001
 #: Words remembered by a Python worker.
-WORDS = 300_000
+WORDS = 600_000
 
 _SPACES = bytes(0x20 if b < 0x80 and not chr(b).isalpha() else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -38,16 +39,31 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_SPACES).split()
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word and of the byte sequences in it, its ends being marked."""
-    marked = b"<" + word + b">"
-    return [zlib.crc32(marked) % BUCKETS, *(zlib.crc32(marked[k : k + n]) % BUCKETS for n in SUBWORDS for k in range(len(marked) - n + 1))]
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of each word as a whole and of the byte sequences in it, its ends being marked: one pass over all words."""
+    text = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), FACTOR, np.uint32), dtype=np.uint32)
+    whole = np.add.reduceat(text * powers[np.arange(len(text)) - starts[owner]], starts, dtype=np.uint32)
+    hashes, owners = [whole], [np.arange(len(words))]
+    for n in SUBWORDS:
+        if len(text) >= n:
+            h = np.full(len(text) - n + 1, n, np.uint32)
+            for k in range(n):
+                h = h * FACTOR + text[k : len(text) - n + 1 + k]
+            inside = owner[: len(h)] == owner[n - 1 :]
+            hashes.append(h[inside])
+            owners.append(owner[: len(h)][inside])
+    h = np.concatenate(hashes)
+    return (((h ^ (h >> np.uint32(15))) * MIXER) >> np.uint32(8)).astype(np.int64) % BUCKETS, np.concatenate(owners)
 
 
 def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares, which sum to 1."""
-    bucket, count = np.unique(np.array([b for w in words for b in subwords(w)], np.int64), return_counts=True)
-    return bucket, count / max(1, count.sum())
+    bucket, count = np.unique(subwords(words)[0], return_counts=True)
+    return bucket, count / count.sum()
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -148,14 +164,16 @@ class Predictor:
         self.model, self.known = model, {}
         self.sums, self.counts = np.zeros((1024, len(model.langs)), np.float32), np.zeros(1024, np.int32)
 
-    def _learn(self, words: set[bytes]) -> None:
-        for word in words:
-            k = len(self.known)
-            if k == len(self.counts):
-                self.sums, self.counts = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
-            buckets = subwords(word)
-            self.sums[k], self.counts[k] = self.model.table[buckets].sum(0), len(buckets)
-            self.known[word] = k
+    def _learn(self, words: list[bytes]) -> None:
+        first, end = len(self.known), len(self.known) + len(words)
+        if end > len(self.counts):
+            more = max(end, 2 * len(self.counts))
+            self.sums, self.counts = np.resize(self.sums, (more, self.sums.shape[1])), np.resize(self.counts, more)
+        bucket, owner = subwords(words)
+        self.counts[first:end] = np.bincount(owner, minlength=len(words))
+        for k in range(self.sums.shape[1]):
+            self.sums[first:end, k] = np.bincount(owner, self.model.table[bucket, k], len(words))
+        self.known.update(zip(words, range(first, end), strict=True))
 
     def scores(self, text: bytes) -> np.ndarray | None:
         """Calibrated probabilities; None without a letter."""
@@ -166,7 +184,7 @@ class Predictor:
             self.known.clear()
         at = list(map(self.known.get, words))
         if None in at:
-            self._learn(set(words).difference(self.known))
+            self._learn(list(set(words).difference(self.known)))
             at = list(map(self.known.__getitem__, words))
         at = np.array(at, np.int64)
         total = self.sums[at].sum(0, dtype=np.float64)
