@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import fragments
 from quire.functions.text import has_term, trim_all
 
 
@@ -65,3 +66,22 @@ def look_up(batch: DataFrame, cache: DataFrame, memory: DataFrame, key: str) ->
     out = batch.join(cache.select(key, F.col("value").alias("_c")), key, "left").join(memory.select(key, F.col("value").alias("_m")), key, "left")
     tier = F.when(filled("_c").isNotNull(), "cache").when(filled("_m").isNotNull(), "memory").otherwise("miss")
     return out.withColumn("found", F.coalesce(filled("_c"), filled("_m"))).withColumn("tier", tier).drop("_c", "_m")
+
+
+def annotated_first(lines: DataFrame, scope: str, line_key: str, order: list[str], text: str, source: str) -> DataFrame:
+    """line_key, text, kept, removed: of annotations `Target(Source)` only a scope's first of each source term stays.
+
+    Only annotations whose inside the source text has are touched. A scope's annotations meet by term, never as a whole; a line's pieces
+    come together again by its key, which must be unique.
+    """
+    flat = fragments.narrow_brackets(F.coalesce(F.col(text), F.lit("")))
+    cut = lines.select(line_key, scope, *order, F.col(source).alias("_s"), F.split(flat, fragments.ANNOTATION, -1).alias("_gaps"), *[F.regexp_extract_all(flat, F.lit(fragments.ANNOTATION), k).alias(f"_m{k}") for k in range(3)])
+    pieces = cut.select(line_key, scope, *order, "_s", F.posexplode(F.arrays_zip("_gaps", "_m0", "_m1", "_m2")).alias("_at", "_p"))
+    pieces = pieces.withColumn("_inner", trim_all(F.col("_p._m2"))).withColumn("_ours", fragments.is_source_term(F.col("_inner"), F.col("_s")))
+    ours = pieces.where("_ours").withColumn("_nth", F.row_number().over(Window.partitionBy(scope, F.lower("_inner")).orderBy(*order, line_key, "_at")))
+    seen = ours.select(*[F.col(c) for c in (line_key, "_at", "_inner", "_nth")], F.col("_p").alias("_p"))
+    made = seen.select(line_key, "_at", F.col("_p._gaps").alias("_gap"), F.when(F.col("_nth") == 1, F.concat("_p._m1", F.lit("("), "_inner", F.lit(")"))).otherwise(F.col("_p._m1")).alias("_out"), F.when(F.col("_nth") == 1, F.col("_inner")).alias("_kept"), F.when(F.col("_nth") > 1, F.col("_inner")).alias("_removed"))
+    rest = pieces.where("not _ours").select(line_key, "_at", F.col("_p._gaps").alias("_gap"), F.coalesce(F.col("_p._m0"), F.lit("")).alias("_out"), F.lit(None).cast("string").alias("_kept"), F.lit(None).cast("string").alias("_removed"))
+    grouped = made.union(rest).groupBy(line_key).agg(F.sort_array(F.collect_list(F.struct("_at", "_gap", "_out", "_kept", "_removed"))).alias("ps"))
+    some = lambda name: F.filter(F.transform("ps", lambda p: p[name]), lambda x: x.isNotNull())
+    return grouped.select(line_key, F.array_join(F.transform("ps", lambda p: F.concat(p["_gap"], p["_out"])), "").alias("text"), some("_kept").alias("kept"), some("_removed").alias("removed"))

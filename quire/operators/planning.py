@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import folds
+
 RUN_KINDS, BACKWARD_KINDS = ("table", "list"), ("caption", "annotation")
 
 
@@ -84,18 +86,6 @@ def rate(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
 
 
 def anchored_windows(events: DataFrame, key: str, at: str, tie: str, seconds: int = 60) -> DataFrame:
-    """Adds `opened`, `used`: windows that open at the first use after the one before has run out, not on the clock's minutes.
-
-    A fold over a key's times: where a window opens depends on all windows before it.
-    """
-    t = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(tie).alias("tie"))
-    gathered = events.groupBy(key).agg(F.sort_array(F.collect_list(t)).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<opened:bigint,used:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["opened"].isNull() | (x["us"] - acc["opened"] >= seconds * 1_000_000)
-        opened, used = F.when(fresh, x["us"]).otherwise(acc["opened"]), F.when(fresh, F.lit(1)).otherwise(acc["used"] + 1).cast("long")
-        return F.struct(opened.alias("opened"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(opened.alias("opened"), used.alias("used")))).alias("out"))
-
-    folded = gathered.select(key, "ts", F.aggregate("ts", start, step, lambda a: a["out"]).alias("ws"))
-    return folded.select(key, F.explode(F.arrays_zip("ts", "ws")).alias("z")).select(key, F.col("z.ts.tie").alias(tie), F.timestamp_micros("z.ws.opened").alias("opened"), F.col("z.ws.used").alias("used"))
+    """key, tie, `opened`, `used`: windows that open at the first use after the one before has run out, not on the clock's minutes."""
+    timed = events.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    return folds.run(timed, [key], ["us", tie], folds.anchored(seconds)).select(key, tie, F.timestamp_micros("opened_us").alias("opened"), "used")
