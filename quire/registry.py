@@ -1,5 +1,6 @@
 """All queries of the reference's own operators, and their oracles."""
 
+from quire.plans import pages as _pages  # noqa: F401
 from quire.plans import rules as _rules  # noqa: F401
 from quire.plans.queries import ORACLES, QUERIES
 
