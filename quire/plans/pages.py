@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import folds, layout, records
+from quire.operators import folds, layout, paragraphs, records
 from quire.plans.queries import _SIDES, _sides, query, t
 
 
@@ -106,3 +106,13 @@ def page_links(spark, d):
 SELECT b.page, ROUND(COUNT(m.vec_id) / COUNT(*)::DOUBLE, 6) AS ratio FROM b LEFT JOIN m USING (page, vec_id) GROUP BY b.page""")
 def page_overlap(spark, d):
     return layout.overlap_ratio(_boxes(spark, d), "page", "vec_id").select("page", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def page_blocks(spark, d):
+    """Documents set as pages, 60 lines each: blocks by kind and alignment."""
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    page = F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("k") / 60).cast("string"))
+    size = F.when(F.length("text") < 20, 14.0).otherwise(10.0)
+    set_ = lines.select(page.alias("page"), F.col("k").alias("ord"), "text", F.lit(50.0).alias("x"), ((F.col("k") % 60) * 12.5 + 20).alias("y"), F.least(F.length("text") * 5.0, F.lit(500.0)).alias("w"), F.lit(10.0).alias("h"), size.alias("font_size"), F.lit("Serif").alias("family"), F.lit(False).alias("bold"), F.lit("#000000").alias("color"), F.lit(0.0).alias("rotation"), F.lit(800.0).alias("height"))
+    return paragraphs.blocks(set_, "page", "height", F.lit(600.0)).groupBy("kind", "region", "alignment").agg(F.count("*").alias("blocks"))

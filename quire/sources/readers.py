@@ -56,3 +56,46 @@ def read_backup(spark: SparkSession, path: str, version: int = 7) -> dict[str, D
             raise ValueError(f"{m['name']} isn't whole")
         out[m["name"]] = df
     return out
+
+
+# Formats and versions of files, as their writers name them.
+PROJECT_VERSION = 1
+PROJECT_ROWS = "array<struct<id:string,projectId:string,pageId:string>>"
+
+
+def project_errors(files: DataFrame, text: str, name: str, version: int = PROJECT_VERSION) -> DataFrame:
+    """The files' rows with `error`: null if a file is a whole project of format `name`, else the first rule that it breaks.
+
+    json, format, version, newer, project (a string id and a name), rows (a row without a string id), owner (a row of another
+    project), page (a block whose page isn't in the file).
+    """
+    v = F.try_parse_json(F.col(text))
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    string = lambda path: F.when(F.schema_of_variant(get(path, "variant")) == "STRING", get(path, "string"))
+    out = files.withColumn("_id", string("$.project.id")).withColumn("_name", string("$.project.name")).withColumn("_v", v)
+    for part in ("pages", "blocks", "glossary"):
+        out = out.withColumn(f"_{part}", F.coalesce(F.try_variant_get("_v", f"$.{part}", PROJECT_ROWS), F.array().cast(PROJECT_ROWS)))
+    every = F.concat("_pages", "_blocks", "_glossary")
+    known = F.transform("_pages", lambda p: p["id"])
+    number = get("$.schemaVersion", "double")
+    error = (
+        F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), "json").when(~string("$.format").eqNullSafe(F.lit(name)), "format")
+        .when(F.coalesce(number, F.lit(0.0)) < 1, "version").when(number > version, "newer").when(F.col("_id").isNull() | F.col("_name").isNull(), "project")
+        .when(F.exists(every, lambda r: r.isNull() | r["id"].isNull()), "rows").when(F.exists(every, lambda r: ~r["projectId"].eqNullSafe(F.col("_id"))), "owner")
+        .when(F.exists("_blocks", lambda b: ~F.coalesce(F.array_contains(known, b["pageId"]), F.lit(False))), "page")
+    )
+    return out.withColumn("error", error).select(*files.columns, "error")
+
+
+def document_errors(files: DataFrame, text: str, schema: str) -> DataFrame:
+    """The files' rows with `error`: null if a file is an exported document of that schema, else json, schema, document, pages or page."""
+    v = F.try_parse_json(F.col(text))
+    pages = F.try_variant_get(v, "$.document.pages", "array<variant>")
+    kind = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(x, path, "variant")), F.lit("VOID"))
+    number = lambda x, path: kind(x, path).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)")
+    error = (
+        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "json").when(~F.try_variant_get(v, "$.schema", "string").eqNullSafe(F.lit(schema)), "schema")
+        .when(~kind(v, "$.document").startswith("OBJECT"), "document").when(pages.isNull(), "pages")
+        .when(F.exists(pages, lambda p: ~(number(p, "$.index") & number(p, "$.width") & number(p, "$.height"))), "page")
+    )
+    return files.withColumn("error", error)

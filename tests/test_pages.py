@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import folds, layout, records
+from quire.operators import folds, layout, paragraphs, records
+from quire.sources import readers
 
 
 def rows_of(df, *columns):
@@ -139,3 +141,37 @@ def test_reflow(spark):
     df = spark.createDataFrame(made, BOX + ", need double")
     got = rows_of(folds.run(df, ["page"], ["y", "x", "id"], layout.reflow(100.0)), "id", "top", "overlaps")
     assert got == [(1, 0.0, False), (2, 30.0, False), (3, 12.0, False), (4, 90.0, False)]
+
+
+def test_blocks(spark):
+    def line(k, text, y, size=10.0, x=50.0, family="Serif", page=1):
+        return (page, k, text, x, float(y), 300.0, 10.0, size, family, False, "#000", 0.0, 800.0)
+
+    made = [
+        line(0, "Page 7", 10), line(1, "A Title", 100, 14.0), line(2, "First line of text", 120), line(3, "goes on here.", 133), line(4, "A new start after a stop", 150),
+        line(5, "far below", 300), line(6, "1. an item", 313), line(7, "other face", 326, family="Sans"), line(8, "1 A small note", 600, 8.0), line(9, "with more of it", 611, 8.0), line(10, "2 Another", 622, 8.0), line(11, "12", 760),
+        line(0, "x", 100, page=2),
+    ]
+    df = spark.createDataFrame(made, "page int, ord int, text string, x double, y double, w double, h double, font_size double, family string, bold boolean, color string, rotation double, height double")
+    got = paragraphs.blocks(df, "page", "height", F.lit(600.0)).where("page = 1").orderBy("block").collect()
+    assert [(b.kind, b.region, b.text) for b in got] == [
+        ("paragraph", "header", "Page 7"), ("heading", "body", "A Title"), ("paragraph", "body", "First line of text\ngoes on here."), ("paragraph", "body", "A new start after a stop"), ("paragraph", "body", "far below"),
+        ("list", "body", "1. an item"), ("paragraph", "body", "other face"), ("footnote", "body", "1 A small note\nwith more of it"), ("footnote", "body", "2 Another"), ("paragraph", "footer", "12"),
+    ]
+    assert got[5].marker == "1." and got[0].skip == "number" and got[2].h == 23.0
+    assert paragraphs.blocks(df.limit(0), "page", "height", F.lit(600.0)).count() == 0
+
+
+def test_files(spark):
+    whole = {"format": "f", "schemaVersion": 1, "project": {"id": "p", "name": "n"}, "pages": [{"id": "g", "projectId": "p"}], "blocks": [{"id": "b", "projectId": "p", "pageId": "g"}], "glossary": []}
+    cases = [
+        (whole, None), ({**whole, "format": "g"}, "format"), ({**whole, "schemaVersion": 2}, "newer"), ({**whole, "schemaVersion": "1x"}, "version"), ({**whole, "project": {"id": 1, "name": "n"}}, "project"),
+        ({**whole, "pages": [{"projectId": "p"}]}, "rows"), ({**whole, "glossary": [{"id": "t", "projectId": "q"}]}, "owner"), ({**whole, "pages": []}, "page"), ([1], "json"),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(c)) for k, (c, _) in enumerate(cases)] + [(99, "{"), (100, None)], "k int, text string")
+    got = {r.k: r.error for r in readers.project_errors(df, "text", "f").collect()}
+    assert got == {k: e for k, (_, e) in enumerate(cases)} | {99: "json", 100: "json"}
+    page = {"index": 0, "width": 1.5, "height": 2}
+    docs = [({"schema": "s", "document": {"pages": [page]}}, None), ({"schema": "t"}, "schema"), ({"schema": "s", "document": 1}, "document"), ({"schema": "s", "document": {"pages": 1}}, "pages"), ({"schema": "s", "document": {"pages": [{**page, "width": "1"}]}}, "page")]
+    df = spark.createDataFrame([(k, json.dumps(c)) for k, (c, _) in enumerate(docs)], "k int, text string")
+    assert {r.k: r.error for r in readers.document_errors(df, "text", "s").collect()} == {k: e for k, (_, e) in enumerate(docs)}
