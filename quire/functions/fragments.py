@@ -131,11 +131,17 @@ def wrap(text: Column, width: int) -> Column:
     return lines(text)
 
 
+_GAPS = re.compile(rf"[{_WS}]+")
+
+
 def search_key_text(text: str | None) -> str | None:
     if text is None:
         return None
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.category(c).startswith("M"))
-    return re.sub(rf"[{_WS}]+", " ", folded).strip(SPACES)
+    folded = text.lower()
+    if not folded.isascii():
+        folded = unicodedata.normalize("NFD", folded)
+        folded = folded.translate({ord(c): None for c in set(folded) if unicodedata.category(c).startswith("M")})
+    return _GAPS.sub(" ", folded).strip(" ")
 
 
 @_batched("string")

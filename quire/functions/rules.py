@@ -266,11 +266,11 @@ def page_list(spec: Column, total: Column) -> Column:
     s = F.coalesce(F.trim(spec), F.lit(""))
     parts = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
     pattern = r"^([0-9]{1,9})(?:\s*-\s*([0-9]{1,9}))?$"
-    first = lambda p: F.regexp_extract(p, pattern, 1).try_cast("int")
-    last = lambda p: F.coalesce(F.regexp_extract(p, pattern, 2).try_cast("int"), first(p))
-    good = (F.size(parts) > 0) & F.forall(parts, lambda p: F.coalesce((last(p) >= first(p)) & (last(p) < total), F.lit(False)))
+    bound = lambda p, k: F.regexp_extract(p, pattern, k).try_cast("int")
+    ends = F.transform(parts, lambda p: F.struct(bound(p, 1).alias("a"), F.coalesce(bound(p, 2), bound(p, 1)).alias("b")))
+    good = (F.size(ends) > 0) & F.forall(ends, lambda e: F.coalesce((e["b"] >= e["a"]) & (e["b"] < total), F.lit(False)))
     # a sequence is made of good parts alone: a bad one would run backwards
-    runs = F.transform(parts, lambda p: F.sequence(first(p), F.greatest(first(p), last(p))))
+    runs = F.transform(ends, lambda e: F.sequence(e["a"], F.greatest(e["a"], e["b"])))
     everything = F.when(total > 0, F.sequence(F.lit(0), total.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     return F.when(s == "", everything).when(good, F.flatten(runs))
 

@@ -23,9 +23,11 @@ SENTENCE_END = "[.!?:;\"'”’]$"
 
 def regions(lines: DataFrame, height: str, repeats: Column) -> DataFrame:
     """Adds `region`: header or footer if a line in the margin repeats on other pages or is a page number, else body."""
-    labelled = F.coalesce(repeats, F.lit(False)) | (skip_rule(F.col("text")) == "number")
     top, bottom = F.col("y") + F.col("h") <= F.col(height) * MARGIN, F.col("y") >= F.col(height) * (1 - MARGIN)
-    return lines.withColumn("region", F.when(top & F.coalesce(labelled, F.lit(False)), "header").when(bottom & F.coalesce(labelled, F.lit(False)), "footer").otherwise("body"))
+    # only lines in a margin are tested
+    labelled = F.when(top | bottom, F.coalesce(repeats, F.lit(False)) | F.coalesce(skip_rule(F.col("text")) == "number", F.lit(False)))
+    lines = lines.withColumn("_labelled", labelled)
+    return lines.withColumn("region", F.when(F.col("_labelled"), F.when(top, "header").otherwise("footer")).otherwise("body")).drop("_labelled")
 
 
 def medians(lines: DataFrame, page: str) -> DataFrame:
