@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import folds, layout, paragraphs, records
+from quire.operators import folds, layout, paragraphs, records, slots
 from quire.plans.queries import _SIDES, _sides, query, t
 
 
@@ -116,3 +116,31 @@ def page_blocks(spark, d):
     size = F.when(F.length("text") < 20, 14.0).otherwise(10.0)
     set_ = lines.select(page.alias("page"), F.col("k").alias("ord"), "text", F.lit(50.0).alias("x"), ((F.col("k") % 60) * 12.5 + 20).alias("y"), F.least(F.length("text") * 5.0, F.lit(500.0)).alias("w"), F.lit(10.0).alias("h"), size.alias("font_size"), F.lit("Serif").alias("family"), F.lit(False).alias("bold"), F.lit("#000000").alias("color"), F.lit(0.0).alias("rotation"), F.lit(800.0).alias("height"))
     return paragraphs.blocks(set_, "page", "height", F.lit(600.0)).groupBy("kind", "region", "alignment").agg(F.count("*").alias("blocks"))
+
+
+_SLOTS = """, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page ORDER BY vec_id) - 1 AS i FROM b WHERE vec_id % 2 = 1), a AS (SELECT * FROM b WHERE vec_id % 2 = 0),
+p AS (SELECT a.page, a.vec_id, k.i, k.y + k.h / 2 > a.y + a.h / 2 AS lower, LEAST(a.x + a.w, k.x + k.w) > GREATEST(a.x, k.x) AS col, LEAST(a.y + a.h, k.y + k.h) - GREATEST(a.y, k.y) AS v,
+ GREATEST(0, LEAST(a.x + a.w, k.x + k.w) - GREATEST(a.x, k.x)) * GREATEST(0, LEAST(a.y + a.h, k.y + k.h) - GREATEST(a.y, k.y)) AS area, a.w * a.h * 0.3::DOUBLE AS least FROM a JOIN k USING (page)),
+r AS (SELECT page, vec_id, CASE WHEN lower THEN i ELSE i + 1 END AS slot FROM p WHERE v > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY page, vec_id ORDER BY col DESC, v DESC, i) = 1),
+o AS (SELECT page, vec_id, i AS owner FROM p WHERE area > 0 AND area >= least QUALIFY ROW_NUMBER() OVER (PARTITION BY page, vec_id ORDER BY area DESC, i) = 1),
+g AS (SELECT page, vec_id, MIN(i) FILTER (lower) AS gap FROM p GROUP BY ALL), n AS (SELECT page, COUNT(*) AS n FROM k GROUP BY page)
+SELECT a.page, a.vec_id AS box, COALESCE({}r.slot, g.gap, n.n, 0)::INT AS slot, {} AS owner FROM a LEFT JOIN r USING (page, vec_id) LEFT JOIN o USING (page, vec_id) LEFT JOIN g USING (page, vec_id) LEFT JOIN n USING (page)"""
+
+
+def _filed(spark, d, owned):
+    # boxes of an hundredth of the height, so that some stand in gaps
+    b = _boxes(spark, d).withColumn("h", F.col("h") / 100)
+    return slots.slots(b.where("vec_id % 2 = 1"), b.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "box"), "page", "vec_id", "box", owned).fillna(-1, ["owner"])
+
+
+_THIN = f"WITH b AS (SELECT * REPLACE (h / 100 AS h) FROM ({_BOX}))"
+
+
+@query(_THIN + _SLOTS.format("", "-1"))
+def page_field_slots(spark, d):
+    return _filed(spark, d, False)
+
+
+@query(_THIN + _SLOTS.format("o.owner + 1, ", "COALESCE(o.owner, -1)::INT"))
+def page_note_slots(spark, d):
+    return _filed(spark, d, True)
