@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import hashing
 from quire.functions.numbers import duration_ms, quantise, round_half_up
-from quire.functions.text import SPACE, collapse, count_of, trim_all
+from quire.functions.text import SPACE, code_fragment, collapse, count_of, trim_all
 
 # ---- times
 
@@ -196,6 +196,44 @@ def equation_score(text: Column, face: Column) -> Column:
     return F.when((t == "") | (F.length(t) > 120) | (F.regexp_count(t, F.lit("[A-Za-zÀ-ɏ]{5,}")) >= 2), 0).otherwise(score)
 
 
+# Faces of one advance width, lines of delimiters alone.
+MONOSPACE = "(?i)mono|courier|consolas|menlo|monaco|inconsolata|cousine|source ?code|fira|ubuntu|andale|lucida ?console"
+DELIMITERS = r"^[{}()\[\];,]+$"
+
+
+def monospaced(family: Column) -> Column:
+    return F.coalesce(family.rlike(MONOSPACE), F.lit(False))
+
+
+def code_line(text: Column) -> Column:
+    """A line that reads as code, or has delimiters alone."""
+    t = trim_all(F.coalesce(text, F.lit("")))
+    return t.rlike(DELIMITERS) | code_fragment(t)
+
+
+def code_block(lines: Column) -> Column:
+    """Whether array<struct<text, x, mono, code>> is a program: by face and content, face and nesting, or content with a brace."""
+    full = F.filter(lines, lambda s: trim_all(F.coalesce(s["text"], F.lit(""))) != "")
+    many = lambda test: F.size(F.filter(full, test))
+    n, left = F.size(full), F.array_min(F.transform(full, lambda s: s["x"]))
+    mono, code = many(lambda s: s["mono"]) >= n * 0.6, many(lambda s: s["code"])
+    nested = (many(lambda s: F.abs(s["x"] - left) <= 0.5) >= 2) & F.exists(full, lambda s: s["x"] > left + 0.5)
+    braced = F.exists(full, lambda s: F.contains(s["text"], F.lit("{")) | F.contains(s["text"], F.lit("}")))
+    return (n > 0) & ((mono & ((code >= n * 0.5) | nested)) | ((n >= 2) & (code >= n * 0.6) & braced))
+
+
+def code_text(lines: Column) -> Column:
+    """Text of array<struct<text, x, w>> with the blanks that lines were indented by, 40 at most."""
+    text = lambda s: F.coalesce(s["text"], F.lit(""))
+    known = F.filter(lines, lambda s: (F.length(text(s)) > 0) & (s["w"] > 0))
+    widths = F.array_sort(F.transform(known, lambda s: s["w"] / F.length(text(s))))
+    wide = F.try_element_at(widths, (F.floor(F.size(widths) / 2) + 1).cast("int"))
+    left = F.array_min(F.transform(known, lambda s: s["x"]))
+    blanks_ = lambda s: F.least(F.greatest(F.floor((s["x"] - left) / wide + 0.5), F.lit(0)), F.lit(40)).cast("int")
+    indented = F.transform(lines, lambda s: F.when(F.length(text(s)) == 0, "").otherwise(F.concat(F.repeat(F.lit(" "), blanks_(s)), text(s))))
+    return F.array_join(F.when(F.size(known) >= 2, indented).otherwise(F.transform(lines, text)), "\n")
+
+
 def split_row(text: Column) -> Column:
     """Cells of a line cut at two blanks or a tab; null if it is no row: fewer than two, or one of more than 40 characters."""
     cells = F.filter(F.transform(F.split(text, rf"[{SPACE}]{{2,}}|\t"), trim_all), lambda c: c != "")

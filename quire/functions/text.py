@@ -184,12 +184,18 @@ SKIP = {
 }
 
 
+def code_fragment(t: Column) -> Column:
+    """Whether a trimmed line reads as a piece of a program."""
+    is_ = lambda name: t.rlike(SKIP[name])
+    score = F.when(is_("code_call"), 2).otherwise(0) + F.when(is_("code_keyword"), 2).otherwise(0) + 1 + F.when(t.contains(";"), 1).otherwise(0)
+    return is_("code_mark") & (score >= 2) & (count_of(t, "A-Za-z") > 4)
+
+
 def skip_rule(text: Column, t: Column | None = None) -> Column:
     """The first rule by which a line isn't translated; null if it is. `t`: the line without white space at its ends."""
     t = trim_all(text) if t is None else t
     is_ = lambda name: t.rlike(SKIP[name])
-    score = F.when(is_("code_call"), 2).otherwise(0) + F.when(is_("code_keyword"), 2).otherwise(0) + 1 + F.when(t.contains(";"), 1).otherwise(0)
-    code = is_("code_mark") & (score >= 2) & (count_of(t, "A-Za-z") > 4)
+    code = code_fragment(t)
     formula = (F.length(t) <= 80) & (is_("math") | is_("math_only")) & t.rlike("[0-9A-Za-z]") & (is_("math_only") | t.rlike("[0-9]") | (F.length(t) <= 30))
     return (
         F.when(text.isNull() | (text == ""), "empty").when(t == "", "whitespace").when(is_("url"), "url").when(is_("email"), "email")

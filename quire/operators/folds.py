@@ -28,6 +28,18 @@ class Fold:
     step: Callable[[tuple, tuple], tuple[tuple, tuple]]
 
 
+def both(one: Fold, two: Fold) -> Fold:
+    """Two folds in one pass."""
+    a, t = len(one.start), len(one.takes)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        left, given = one.step(state[:a], row[:t])
+        right, more = two.step(state[a:], row[t:])
+        return (*left, *right), (*given, *more)
+
+    return Fold(one.takes + two.takes, f"{one.state}, {two.state}", (*one.start, *two.start), f"{one.gives}, {two.gives}", step)
+
+
 def run(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
     """Every row with the fold's columns; rows of a key in `order`, which must settle ties; null keys are a key."""
     given = StructType.fromDDL(fold.gives)

@@ -162,6 +162,25 @@ def test_blocks(spark):
     assert paragraphs.blocks(df.limit(0), "page", "height", F.lit(600.0)).count() == 0
 
 
+def test_equation_and_code_blocks(spark):
+    def line(k, text, x, y, w=60.0, h=10.0, size=10.0, family="Serif", page=1):
+        return (page, k, text, float(x), float(y), float(w), float(h), size, family, False, "#000", 0.0, 800.0)
+
+    made = [
+        line(0, "Plain words stand above here", 50, 100, 300), line(1, "x", 100, 140, 6, family="CMMI10"), line(2, "12", 106, 136, 8, 6, 6.0), line(3, "Plain words stand below again", 50, 156, 300),
+        line(4, "2", 200, 184, 5, 6, 6.0), line(5, "a = b + c^", 150, 190, 55), line(6, "n", 150, 203, 6), line(7, "and prose goes on from here", 50, 216, 300),
+        line(8, "def f(x) {", 50, 300, 60, family="Courier"), line(9, "return (x);", 68, 312, 66, family="Courier"), line(10, "}", 50, 324, 6, family="Courier"), line(11, "Words after the program", 50, 350, 300),
+    ]
+    df = spark.createDataFrame(made, "page int, ord int, text string, x double, y double, w double, h double, font_size double, family string, bold boolean, color string, rotation double, height double")
+    got = paragraphs.blocks(df, "page", "height", F.lit(600.0)).orderBy("block").collect()
+    assert [(b.kind, b.text, b.skip) for b in got if b.kind in ("equation", "code")] == [
+        ("equation", "x^{12}", "formula"), ("equation", "a = b + c^^2\nn", "formula"), ("code", "def f(x) {\n   return (x);\n}", "code"),
+    ]
+    assert [b.text for b in got if b.kind not in ("equation", "code")] == ["Plain words stand above here", "Plain words stand below again", "and prose goes on from here", "Words after the program"]
+    flags = {r.ord: r.equation for r in paragraphs.with_blocks(df, "page", "height").collect()}
+    assert sorted(k for k in flags if flags[k]) == [1, 2, 4, 5, 6]
+
+
 def test_files(spark):
     whole = {"format": "f", "schemaVersion": 1, "project": {"id": "p", "name": "n"}, "pages": [{"id": "g", "projectId": "p"}], "blocks": [{"id": "b", "projectId": "p", "pageId": "g"}], "glossary": []}
     cases = [
