@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import folds, layout, paragraphs, records, slots
+from quire.functions import markup
+from quire.operators import folds, keys, layout, paragraphs, records, slots
 from quire.plans.queries import _SIDES, _sides, query, t
+from quire.sources import archives
 
 
 @query(_SIDES + """ SELECT o_orderkey, ROUND(CASE WHEN s.o_orderkey IS NULL OR i.updated_at > s.updated_at THEN i.value ELSE s.value END, 2) AS value,
@@ -144,3 +146,62 @@ def page_field_slots(spark, d):
 @query(_THIN + _SLOTS.format("o.owner + 1, ", "COALESCE(o.owner, -1)::INT"))
 def page_note_slots(spark, d):
     return _filed(spark, d, True)
+
+
+_KEYS = """WITH k AS (SELECT c_nationkey, c_custkey, c_custkey % 13 <> 0 AS alive, c_nationkey % 3 * 40 + c_custkey % 40 AS cooldown_until, c_custkey % 5 AS requests, c_custkey % 3 AS last_used,
+ c_custkey % 7 >= 6 - c_nationkey % 4 AS r, c_custkey % 11 * 10 AS r_reset, c_nationkey % 2 = 1 AND c_custkey % 2 = 0 AS t, c_custkey % 17 * 6 AS t_reset FROM customer),
+f AS (SELECT *, alive AND 70 >= cooldown_until AND NOT (r AND 70 < r_reset) AND NOT (t AND 70 < t_reset) AS free, (ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1) % COUNT(*) OVER (PARTITION BY c_nationkey) AS turn FROM k),
+p AS (SELECT c_nationkey, c_custkey FROM f WHERE free QUALIFY ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY {} turn) = 1),
+w AS (SELECT c_nationkey, u, n FROM (SELECT c_nationkey, r_reset AS u, 1 AS n FROM f WHERE alive AND r UNION ALL SELECT c_nationkey, t_reset, 0 FROM f WHERE alive AND t UNION ALL SELECT c_nationkey, cooldown_until, 2 FROM f WHERE alive) WHERE u > 70 QUALIFY ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY u, n) = 1)
+SELECT c_nationkey, COALESCE(p.c_custkey, -1) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN COALESCE(w.u, -1) ELSE -1 END AS until, CASE WHEN p.c_custkey IS NULL AND w.u IS NOT NULL THEN CASE w.n WHEN 0 THEN 'day' WHEN 1 THEN 'minute' ELSE 'cooldown' END ELSE '-' END AS waits_for
+FROM (SELECT DISTINCT c_nationkey FROM customer) LEFT JOIN p USING (c_nationkey) LEFT JOIN w USING (c_nationkey)"""
+
+
+def _keys(spark, d, least_used):
+    """Customers as keys of their nation: requests a minute and tokens a day may be used up."""
+    id_, n, zero = F.col("c_custkey"), F.col("c_nationkey"), F.lit(0).cast("long")
+    used = lambda test: F.when(test, 10).otherwise(0).cast("long")
+    made = {
+        "enabled": id_ % 13 != 0, "invalid": F.lit(False), "has_secret": F.lit(True), "cooldown_until": n % 3 * 40 + id_ % 40, "requests": id_ % 5, "last_used": id_ % 3,
+        "rpm_used": used(id_ % 7 >= 6 - n % 4), "rpm_limit": zero + 10, "rpm_reset": id_ % 11 * 10, "tpd_used": used((n % 2 == 1) & (id_ % 2 == 0)), "tpd_limit": zero + 10, "tpd_reset": id_ % 17 * 6,
+    }
+    made |= {f"{b}_{c}": zero + (10 if c == "limit" else 0) for b in ("rpd", "tpm") for c in ("used", "limit", "reset")}
+    out = keys.picked(t(spark, d, "customer").select("c_nationkey", "c_custkey").withColumns(made), "c_nationkey", "c_custkey", F.lit(70), F.lit(5), F.lit(-2), least_used)
+    return out.fillna(-1, ["c_custkey", "until"]).fillna("-", ["waits_for"])
+
+
+@query(_KEYS.format(""))
+def key_turns(spark, d):
+    return _keys(spark, d, False)
+
+
+@query(_KEYS.format("requests, last_used,"))
+def key_least_used(spark, d):
+    return _keys(spark, d, True)
+
+
+@query()
+def page_sanitised(spark, d):
+    """Pages' markup by the allow-list."""
+    return t(spark, d, "pages").select("page_id", markup.sanitised(F.col("html")).alias("html"))
+
+
+@query()
+def doc_code_tokens(spark, d):
+    """Tokens of documents read as code, by kind."""
+    return t(spark, d, "documents").select("doc_id", F.explode(markup.code_tokens(F.col("text"))).alias("p")).groupBy("doc_id", "p.kind").agg(F.count("*").alias("tokens"), F.sum(F.length("p.text")).alias("chars"))
+
+
+def _book(spark, d):
+    own = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    return own.withColumns({"page": F.floor(F.col("n") / 40), "kind": F.when(F.col("n") == 0, "heading").otherwise("paragraph"), "level": F.lit(1)})
+
+
+@query()
+def doc_epub(spark, d):
+    return archives.epub(_book(spark, d), "doc_id", "page", "n")
+
+
+@query()
+def doc_docx(spark, d):
+    return archives.docx(_book(spark, d), "doc_id", "page", "n")
