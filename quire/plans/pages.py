@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import markup
-from quire.operators import folds, keys, layout, paragraphs, records, slots
+from quire.operators import folds, keys, ladder, layout, paragraphs, records, slots
 from quire.plans.queries import _SIDES, _sides, query, t
 from quire.sources import archives
 
@@ -205,3 +205,18 @@ def doc_epub(spark, d):
 @query()
 def doc_docx(spark, d):
     return archives.docx(_book(spark, d), "doc_id", "page", "n")
+
+
+def _reversed(lines, repair):
+    """A transport for tests: it turns texts round, and fails for many lines, for marked ones and for those without a repair."""
+    if len(lines) > 6 or any(x["id"].endswith("7") and "#" not in x["id"] for x in lines) or any(x["id"].endswith("3") and not repair for x in lines):
+        return None
+    return {x["id"]: x["text"][::-1] for x in lines}
+
+
+@query()
+def doc_answered(spark, d):
+    """Lines of documents in batches of twelve, answered with smaller requests where one fails."""
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    batch = F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("n") / 12).cast("string"))
+    return ladder.answered(lines.select(batch.alias("batch"), "n", F.col("n").alias("id"), "text", F.lit("paragraph").alias("kind")), "batch", "n", _reversed)
