@@ -5,6 +5,7 @@ Pages are many and small; what needs all of a page's rows at once says so. Joins
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +205,43 @@ def reflow(page_height: float = 0.0) -> Fold:
 
     return Fold(("x", "y", "w", "h", "need"), "", [], "top double, overlaps boolean", step)
 
+
+
+def _split(boxes: list[tuple[float, float]], width: float) -> tuple[list, list] | None:
+    """(x, w) of a page's lines left and right of a real gutter."""
+    centre = lambda b: b[0] + b[1] / 2
+    if len(boxes) < LEAST_LINES or width <= 0:
+        return None
+    mean = lambda side: sum(map(centre, side)) / len(side)
+    ends = min(map(centre, boxes)), max(map(centre, boxes))
+    for _ in range(PASSES):
+        middle = sum(ends) / 2
+        sides = [b for b in boxes if centre(b) <= middle], [b for b in boxes if centre(b) > middle]
+        if not all(sides):
+            break
+        before, ends = ends, (mean(sides[0]), mean(sides[1]))
+        if all(abs(a - b) < 0.5 for a, b in zip(before, ends, strict=True)):
+            break
+    middle = sum(ends) / 2
+    left, right = [b for b in boxes if centre(b) <= middle], [b for b in boxes if centre(b) > middle]
+    if ends[1] - ends[0] < width * SPREAD or min(len(left), len(right)) < 3:
+        return None
+    return (left, right) if min(x for x, _ in right) - max(x + w for x, w in left) >= GUTTER else None
+
+
+def column_number(boxes: list[tuple[float, float]], width: float, most: int = 4) -> int:
+    """Columns of a page: each side of a gutter may have gutters of its own."""
+    found = _split(boxes, width) if most > 1 else None
+    return min(most, sum(column_number(side, width, most) for side in found)) if found else 1
+
+
+def column_counts(lines: DataFrame, page: str, width: Column, most: int = 4) -> DataFrame:
+    """page, columns, at most `most`. A page's boxes are gathered in its row; sides within sides need a recursion, so Python."""
+    pages = lines.groupBy(page).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("w").cast("double").alias("w"))).alias("bs"), F.max(width).cast("double").alias("_width"))
+
+    @F.pandas_udf("int")
+    def counted(boxes: pd.Series, widths: pd.Series) -> pd.Series:
+        known = lambda bs: [(b["x"], b["w"]) for b in bs if b["x"] is not None and b["w"] is not None]
+        return pd.Series([column_number(known(bs), w, most) for bs, w in zip(boxes, widths, strict=True)], dtype="int32")
+
+    return pages.select(page, counted("bs", F.coalesce("_width", F.lit(0.0))).alias("columns"))

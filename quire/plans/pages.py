@@ -220,3 +220,8 @@ def doc_answered(spark, d):
     lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     batch = F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("n") / 12).cast("string"))
     return ladder.answered(lines.select(batch.alias("batch"), "n", F.col("n").alias("id"), "text", F.lit("paragraph").alias("kind")), "batch", "n", _reversed)
+
+
+@query()
+def page_column_counts(spark, d):
+    return layout.column_counts(layout.visual_lines(_runs(spark, d), ["page"], "vec_id", "page_height"), "page", F.lit(1000.0))

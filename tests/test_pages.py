@@ -194,3 +194,18 @@ def test_files(spark):
     docs = [({"schema": "s", "document": {"pages": [page]}}, None), ({"schema": "t"}, "schema"), ({"schema": "s", "document": 1}, "document"), ({"schema": "s", "document": {"pages": 1}}, "pages"), ({"schema": "s", "document": {"pages": [{**page, "width": "1"}]}}, "page")]
     df = spark.createDataFrame([(k, json.dumps(c)) for k, (c, _) in enumerate(docs)], "k int, text string")
     assert {r.k: r.error for r in readers.document_errors(df, "text", "s").collect()} == {k: e for k, (_, e) in enumerate(docs)}
+
+
+def test_column_counts(spark):
+    rng = random.Random(3)
+    made = []
+    for page, (columns, each) in enumerate([(1, 20), (2, 9), (3, 8), (4, 7), (2, 2), (1, 3)]):
+        step = 600.0 / columns
+        made += [(page, k * step + 5, step - 25 - rng.randrange(0, 5)) for k in range(columns) for _ in range(each)]
+    made += [(6, float(rng.randrange(0, 500)), float(rng.randrange(20, 90))) for _ in range(30)] + [(7, None, 3.0)]
+    df = spark.createDataFrame(made, "page int, x double, w double")
+    got = {r.page: r.columns for r in layout.column_counts(df, "page", F.lit(600.0)).collect()}
+    assert [got[k] for k in range(6)] == [1, 2, 3, 4, 1, 1] and got[7] == 1
+    assert {r.columns for r in layout.column_counts(df, "page", F.lit(600.0), 3).where("page IN (2, 3)").collect()} == {3}
+    two = {r.page for r in layout.with_columns(df.where("page < 7").withColumn("y", F.lit(0.0)), "page", F.lit(600.0)).where("column = 1").collect()}
+    assert {k for k in range(7) if got[k] > 1} == two
