@@ -53,7 +53,8 @@ def run(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFra
         now: Any = object()
         state = start
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in takes]
+            lists = {c: batch.column(c).to_pylist() for c in {*takes}}
+            columns = [lists[c] for c in takes]
             out = []
             for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), *columns, strict=True):
                 if key != now:

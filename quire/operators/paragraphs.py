@@ -100,11 +100,11 @@ def blocks(lines: DataFrame, page: str, height: str, width: Column, repeats: Col
     first = F.min_by(F.struct("font_size", "text", "note", "equation"), "ord")
     made = found.groupBy(page, "block").agg(
         F.first("region").alias("region"), F.first("median_size").alias("_median"), first.alias("_first"), F.sort_array(F.collect_list(F.struct("ord", "text", "x", "y", "w", "h", "font_size", F.col("monospaced").alias("mono"), "code"))).alias("_ls"),
-        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), rules.alignment(F.col("x"), F.col("w"), width).alias("alignment"),
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.bool_or(F.col("monospaced") | F.col("code")).alias("_signs"), rules.alignment(F.col("x"), F.col("w"), width).alias("alignment"),
     )
     prose = (F.col("region") == "body") & ~F.col("_first.note")
     # the blocks' own texts: only an equation's lines go to Python
-    made = made.withColumn("_code", prose & ~F.col("_first.equation") & rules.code_block(F.col("_ls")))
+    made = made.withColumn("_code", F.when(prose & ~F.col("_first.equation") & F.col("_signs"), rules.code_block(F.col("_ls"))).otherwise(False))
     made = made.withColumn("_equation", equations.equation_text(F.when(F.col("_first.equation"), F.col("_ls")), F.col("_median")))
     plain = F.array_join(F.transform("_ls", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
     made = made.withColumn("text", F.when(F.col("_first.equation"), F.col("_equation")).when(F.col("_code"), rules.code_text(F.col("_ls"))).otherwise(plain))
