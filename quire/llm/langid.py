@@ -84,7 +84,7 @@ class Model:
 
 
 def train(texts: list[bytes], langs: list[str]) -> Model:
-    """Stochastic gradient descent over whole documents and short stretches of them; every fifth document validates.
+    """Stochastic gradient descent over whole documents and short stretches of them; every fifth document of a language validates.
 
     The temperature minimises the validation loss; the threshold is the score below which REJECTED of the whole validation
     documents lie, at most 0.5.
@@ -92,17 +92,19 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
     names = sorted(set(langs))
     code = {x: k for k, x in enumerate(names)}
     random = np.random.default_rng(SEED)
-    fit, check, whole = [], [], []
-    for k, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+    fit, check, whole, seen = [], [], [], [0] * len(names)
+    for text, lang in zip(texts, langs, strict=True):
         words = split_words(text)
         if not words:
             continue
-        (check if k % 5 == 0 else fit).append((*_features(words), code[lang]))
-        if k % 5 == 0:
+        seen[code[lang]] += 1
+        validates = seen[code[lang]] % 5 == 0  # counted inside the language: a place in the whole list may follow the language
+        (check if validates else fit).append((*_features(words), code[lang]))
+        if validates:
             whole.append(len(check) - 1)
         for _ in range(3):
             at = int(random.integers(len(words)))
-            (check if k % 5 == 0 else fit).append((*_features(words[at : at + int(random.integers(2, 12))]), code[lang]))
+            (check if validates else fit).append((*_features(words[at : at + int(random.integers(2, 12))]), code[lang]))
     if not fit:
         return Model(names, np.zeros((BUCKETS, len(names)), np.float32), 0.0)
     check, whole = (check, whole) if check else (fit, [])
