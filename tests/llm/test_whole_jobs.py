@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from quire.llm import langid
+import corpus_pipeline
+from quire.llm import langid, shingle_dedup
 
 
 @pytest.mark.parametrize("n_langs", [5, 10])
@@ -21,3 +22,40 @@ def test_every_language_is_learnt(spark, n_langs):
     for name in {x for *_, x in rows}:
         its = [found[k] for k, _, x in rows if x == name and k in found]
         assert sum(x == name for x in its) > 0.95 * len(its)
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts, and copies of some at similarities on either side of 0.8."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    out = []
+    for k in range(60):
+        words = text(rng.randrange(60, 300))
+        out.append(" ".join(words))
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * (k % 6) // 100)):
+            other[at] = "changed"
+        out.append(" ".join(other))
+    passage = " ".join(text(150))
+    return out + [passage + " " + " ".join(text(90)) for _ in range(4)] + [("again " * 400) + " ".join(text(40)) for _ in range(4)]
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_near_stage_is_jaccard_of_five_words(spark, copies, tile):
+    ids = range(len(copies))
+    root = list(ids)
+    for a in ids:
+        for b in ids[a + 1 :]:
+            if jaccard(copies[a], copies[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame(list(zip(ids, copies, strict=True)), "doc_id long, text string")
+    kept = shingle_dedup.drop_near_copies(docs, tile=tile) if tile == 3 else corpus_pipeline.near(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k in ids if root[k] == k]
+    assert 20 < sum(root[k] != k for k in ids) < 60
