@@ -85,8 +85,8 @@ _FNV = lambda x: f"LIST_REDUCE(LIST_PREPEND(2166136261::HUGEINT, LIST_TRANSFORM(
 
 @query(f"WITH p AS (SELECT doc_id, LEFT(text, 120) AS p FROM documents) SELECT doc_id, LPAD(LOWER(TO_HEX(({_FNV('p')})::BIGINT)), 8, '0') || '-' || LOWER(TO_BASE(LENGTH(p), 36)) AS hash FROM p")
 def doc_hash_text(spark, d):
-    """The hash of a text's first 120 characters: the feature is a short stable key of a block's beginning."""
-    return t(spark, d, "documents").select("doc_id", hashing.hash_text(F.substring("text", 1, 120)).alias("hash"))
+    """The hash and the length of the whole text."""
+    return t(spark, d, "documents").select("doc_id", hashing.hash_text(F.col("text")).alias("hash"))
 
 
 @query(f"SELECT doc_id, {_COLLAPSE('text')} = '' AS blank, ROW_NUMBER() OVER (PARTITION BY {_COLLAPSE('text')} ORDER BY doc_id) > 1 AS duplicate FROM documents")
