@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, local_roots
 from .runtime import BROADCAST_ROWS, materialise, raw, tune
+from .shingle_dedup import ROW, keep_one, numbered
 
 SEED, SHINGLE, RADIUS, BLOCKS = 42, 3, 3, 5
 #: Fingerprints of a bucket that are compared in one task; larger buckets are cut into tiles, which meet pairwise.
@@ -207,6 +208,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; rows with a null id stay only if their whole component has none."""
-    gone = simhash_components(docs, id_col, text_col, **how).where("not (id <=> component_id)").select(F.col("id").alias("__quire_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__quire_id"]), "left_anti")
+    """One row of each component, whatever its rows' ids: the smallest id, null ids last; keep_one() says which of equal ids."""
+    rows = numbered(docs)
+    groups = simhash_components(rows, ROW, text_col, **how).select(F.col("id").alias("row"), F.col("component_id").alias("component"))
+    return keep_one(rows, groups, id_col, text_col)

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quire.llm import langid, shingle_dedup
+from quire.llm import langid, shingle_dedup, simhash
 
 
 @pytest.mark.parametrize("n_langs", [5, 10])
@@ -59,3 +59,12 @@ def test_near_stage_is_jaccard_of_five_words(spark, copies, tile):
     kept = shingle_dedup.drop_near_copies(docs, tile=tile) if tile == 3 else corpus_pipeline.near(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [k for k in ids if root[k] == k]
     assert 20 < sum(root[k] != k for k in ids) < 60
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, shingle_dedup.drop_near_copies])
+def test_near_copies_go_by_row(spark, drop):
+    """Null and repeated ids: a row goes for its own text, and one row of each group stays."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (None, text(1).upper()), (None, text(2)), (5, text(3)), (7, text(3) + " "), (7, text(4)), (None, text(5)), (None, text(5) + " "), (9, text(6)), (9, text(6) + " ")]
+    got = [(r.doc_id, r.text.strip()) for r in drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text(1)), (None, text(2)), (5, text(3)), (7, text(4)), (None, text(5)), (9, text(6))], key=repr)
