@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import new_path, remove
 
 #: Stars double the reach of every node, so that even a path of 2^50 nodes ends before this.
 MAX_ROUNDS = 60
@@ -30,17 +30,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of longs in any order -> (node, component), component being the smallest node reached.
 
     Nodes without edges don't appear; loops, repeated edges and null ends are ignored. All sums are made by Spark; the
-    driver sees two numbers a round. A node with many neighbours is a skewed join key, which AQE splits.
+    driver sees two numbers a round. A node with many neighbours is a skewed join key, which AQE splits. A round's table
+    is removed as soon as the next one is written; the last one stays.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "edges")
+    spark = edges.sparkSession
+    folder = new_path(spark, "edges")
+    edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(folder)
+    edges = spark.read.schema("u long, v long").parquet(folder)
     state = None
     for _ in range(MAX_ROUNDS):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-        edges = materialise(_small(_large(edges)), "stars")
+        before, folder = folder, new_path(spark, "stars")
+        _small(_large(edges)).write.parquet(folder)
+        edges = spark.read.schema("u long, v long").parquet(folder)
+        remove(spark, before)
     else:
         raise RuntimeError("components did not settle")
     least = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
