@@ -34,13 +34,17 @@ def _role_back(role: Column) -> Column:
 def visit(parts: Column) -> tuple[Column, Column]:
     """(body, attachments) of an array of parts struct<type, text, ref, units>, in their order.
 
-    A text part becomes its escaped text; an image, audio or document part the placeholder `<|type|>`, with a row in
-    attachments: type, ref, units and expanded tokens. Null units count as one, a null type as text, a type that isn't known
-    as document; null parts and null texts as empty.
+    Runs of text parts are joined, then escaped, so that no control string can arise where two parts meet; an image, audio
+    or document part becomes the placeholder `<|type|>`, with a row in attachments: type, ref, units and expanded tokens. Null
+    units count as one, a null type as text, a type that isn't known as document; null parts and null texts as empty.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast("array<struct<type:string,text:string,ref:string,units:bigint>>")), lambda p: p.isNotNull())
     kind = lambda p: F.when(F.coalesce(p["type"], F.lit("text")).isin("text", *EXPANSION), F.coalesce(p["type"], F.lit("text"))).otherwise(F.lit("document"))
-    body = F.array_join(F.transform(parts, lambda p: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>")))), "")
+    # the visitor's state: what is finished, and the run of text that is still open
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    said = lambda s, p: F.struct(s["done"].alias("done"), F.concat(s["run"], F.coalesce(p["text"], F.lit(""))).alias("run"))
+    placed = lambda s, p: F.struct(F.concat(s["done"], escape(s["run"]), F.lit("<|"), kind(p), F.lit("|>")).alias("done"), F.lit("").alias("run"))
+    body = F.aggregate(parts, start, lambda s, p: F.when(kind(p) == "text", said(s, p)).otherwise(placed(s, p)), lambda s: F.concat(s["done"], escape(s["run"])))
     rate = F.create_map(*[F.lit(x).cast(t) for k, v in EXPANSION.items() for x, t in ((k, "string"), (v, "long"))])
     attached = F.transform(
         F.filter(parts, lambda p: kind(p) != "text"),
@@ -52,21 +56,21 @@ def visit(parts: Column) -> tuple[Column, Column]:
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row a conversation: conv, formatted, mask, attachments, expanded_tokens.
 
-    `content_col` is a string, or an array of parts as visit() takes them. Turns are in the order of turn, then of role and
+    `content_col` is an array of parts as visit() takes them, or a string, which is one text part. Turns are in the order of turn, then of role and
     content; rows that repeat all three are turns of their own; null turns come first; null texts and roles are empty. mask
     has for each turn the characters (code points) of its head and body, and whether the body is trained on. attachments
     has the turn's place and the part's type, ref, units and tokens, in the order of their placeholders. A null conv is a
     conversation of its own. A conversation is one string, so it must fit a row; nothing else is gathered.
     """
     typed = isinstance(messages.schema[content_col].dataType, ArrayType)
-    parts = F.col(content_col) if typed else F.array(F.struct(F.lit("text").alias("type"), F.coalesce(F.col(content_col), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
-    body, attached = visit(parts) if typed else (escape(F.coalesce(F.col(content_col), F.lit(""))), F.lit(None).cast("array<struct<type:string,ref:string,units:bigint,tokens:bigint>>"))
+    one = F.struct(F.lit("text").alias("type"), F.col(content_col).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))
+    body, attached = visit(F.col(content_col) if typed else F.array(one))
     loss = F.coalesce(F.col(role_col), F.lit("")).isin(*loss_roles)
     turns = messages.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.concat(F.lit(START), _role(F.col(role_col)), F.lit("\n")).alias("head"), body.alias("body"), loss.alias("loss"), attached.alias("attached")).alias("t"))
     chats = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     formatted = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
     mask = F.transform("ts", lambda t: F.struct(F.length(t["head"]).cast("long").alias("head"), F.length(t["body"]).cast("long").alias("body"), t["loss"].alias("loss")))
-    attachments = F.flatten(F.transform("ts", lambda t, i: F.transform(F.coalesce(t["attached"], F.array().cast("array<struct<type:string,ref:string,units:bigint,tokens:bigint>>")), lambda a: F.struct(i.cast("long").alias("at"), a["type"].alias("type"), a["ref"].alias("ref"), a["units"].alias("units"), a["tokens"].alias("tokens")))))
+    attachments = F.flatten(F.transform("ts", lambda t, i: F.transform(t["attached"], lambda a: F.struct(i.cast("long").alias("at"), a["type"].alias("type"), a["ref"].alias("ref"), a["units"].alias("units"), a["tokens"].alias("tokens")))))
     out = chats.select("conv", formatted.alias("formatted"), mask.alias("mask"), attachments.alias("attachments"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
