@@ -15,6 +15,8 @@ from .runtime import materialise, tune
 THRESHOLD, TILE = 0.98, 2048
 #: Dimensions that are added before the bound is looked at again.
 STEP = 8
+#: Triangles of sums that are added in one task, and that reach the driver.
+FAN_IN = 16
 #: What rounding may add to a bound or take from it; pairs inside it are settled by the exact cosine.
 SLACK = 1e-6
 #: Cells beside a cell that hold vectors which can be near: itself and four ahead of it.
@@ -29,32 +31,51 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = even(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the triangles of a partition, which pass one at a time."""
+    total = None
+    for b in batches:
+        for data in b.column(0):
+            own = np.frombuffer(data.as_buffer(), np.float64)
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+
 def _axes(classes: DataFrame) -> tuple[int, np.ndarray]:
     """The commonest length of vectors and its principal axes, from the sums of products over all of its unit vectors.
 
-    Only d * d sums reach the driver. Vectors of other lengths keep their own axes: those only order the work.
+    A task sends the upper triangle of its d * d sums as one value; FAN_IN of them are added a task, level by level, until
+    no more than FAN_IN reach the driver. Vectors of other lengths keep their own axes: those only order the work.
     """
     common = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not common:
         return 0, np.zeros((0, 0))
     dim = common[0]["dim"]
+    upper = np.triu_indices(dim)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim))
+        total = None
         for b in batches:
-            x = _unit(b.column(0), dim)
-            total += x.T @ x
-        i, j = np.triu_indices(dim)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
-
-    sums = classes.where(F.col("dim") == dim).select("vec").mapInArrow(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+            if b.num_rows:
+                x = _unit(b.column(0), dim)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total[upper].tobytes()], pa.binary())], names=["s"])
+
+    own = classes.where(F.col("dim") == dim).select("vec")
+    left = own.rdd.getNumPartitions()
+    sums = own.mapInArrow(gram, "s binary")
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        sums = sums.repartition(left).mapInArrow(_total, "s binary")
     total = np.zeros((dim, dim))
-    for r in sums:
-        total[r["i"], r["j"]] = total[r["j"], r["i"]] = r["s"]
+    total[upper] = sum(np.frombuffer(r["s"], np.float64) for r in sums.collect())
+    total += np.triu(total, 1).T
     return dim, np.linalg.eigh(total)[1][:, ::-1].copy()
 
 
@@ -86,10 +107,15 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, axes: np.n
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of rows in double precision, from the vectors as they are."""
+    """Cosines of rows in double precision; see even() for rows whose squares would leave it."""
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between a half and one: cosines keep every digit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
@@ -108,7 +134,9 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
         raise ValueError("the threshold must be above 0 and at most 1")
     rows = _valid(vectors, id_col, vec_col, label_col)
     good = rows.where("good").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vec"))
-    classes = materialise(good, "classes")
+    # a class has a number of its own, as ids may repeat; its rows find it again by label and 128 bits of the vector's hash
+    hashes = [F.xxhash64(F.lit(k), F.col("vec")).alias(f"h{k}") for k in (1, 2)]
+    classes = materialise(good.withColumn("cls", F.monotonically_increasing_id()), "classes")
     dim, axes = _axes(classes)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
 
@@ -123,7 +151,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
                 cell[which, : lead.shape[1]] = np.floor(lead / width)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell[:, 0]), pa.array(cell[:, 1])], names=[*b.schema.names, "x", "y"])
 
-    placed = classes.mapInArrow(place, f"label string, vec {dict(vectors.dtypes)[vec_col]}, rep long, n long, dim int, x int, y int")
+    placed = classes.mapInArrow(place, f"label string, vec {dict(vectors.dtypes)[vec_col]}, rep long, n long, dim int, cls long, x int, y int")
     placed = materialise(placed, "placed")
     cell = ["label", "dim", "x", "y"]
     cells = materialise(placed.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(tile)).cast("long").alias("tiles")), "cells")
@@ -139,17 +167,16 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     second = F.when(within, F.col("own") > F.col("other")).otherwise(F.col("m.step.side") == 1)
     first_is_own = ~second
     pick = lambda a, b: F.when(first_is_own, a).otherwise(b)
-    dealt = dealt.select("label", "dim", pick(F.col("x"), F.col("m.ox")).alias("ax"), pick(F.col("y"), F.col("m.oy")).alias("ay"), pick(F.col("own"), F.col("other")).alias("a"), F.col("m.step.dx").alias("dx"), F.col("m.step.dy").alias("dy"), pick(F.col("other"), F.col("own")).alias("b"), second.cast("int").alias("side"), "rep", "n", "vec")
+    dealt = dealt.select("label", "dim", pick(F.col("x"), F.col("m.ox")).alias("ax"), pick(F.col("y"), F.col("m.oy")).alias("ay"), pick(F.col("own"), F.col("other")).alias("a"), F.col("m.step.dx").alias("dx"), F.col("m.step.dy").alias("dy"), pick(F.col("other"), F.col("own")).alias("b"), second.cast("int").alias("side"), "cls", "rep", "n", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
         d = table.column("dim")[0].as_py()
         side = table.column("side").to_numpy()
         order = np.argsort(side, kind="stable")
-        rep, n = table.column("rep").to_numpy()[order], table.column("n").to_numpy()[order]
+        cls, rep, n = (table.column(x).to_numpy()[order] for x in ("cls", "rep", "n"))
         vec = table.column("vec").combine_chunks()
-        plain = (vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)[order]
-        unit = plain / np.abs(plain).max(1, keepdims=True)
-        unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+        plain = even((vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)[order])
+        unit = plain / np.sqrt((plain * plain).sum(1, keepdims=True))
         n_a = int((side == 0).sum())
         same = all(table.column(x)[0].as_py() == 0 for x in ("dx", "dy")) and table.column("a")[0] == table.column("b")[0]
         count, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -165,16 +192,16 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
             rank[by_rep] = np.arange(len(rep))
             root = by_rep[local_roots(len(rep), rank[i], rank[j])[rank]]
         linked = np.flatnonzero(count)
-        return pa.table({"rep": rep[linked], "vec": vec.take(pa.array(order[linked])), "label": table.column("label").combine_chunks().take(pa.array(order[linked])), "links": count[linked], "root": rep[root[linked]]})
+        return pa.table({"cls": cls[linked], "links": count[linked], "rep": rep[linked], "root": rep[root[linked]]})
 
     task = ["label", "dim", "ax", "ay", "a", "dx", "dy", "b"]
-    found = dealt.groupBy(*task).applyInArrow(compare, f"rep long, vec {dict(vectors.dtypes)[vec_col]}, label string, links long, root long")
+    found = dealt.groupBy(*task).applyInArrow(compare, "cls long, links long, rep long, root long")
     found = materialise(found, "links")
-    counts = found.groupBy("label", "vec").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    settled = classes.join(counts, ["label", "vec"], "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    settled = settled.select("label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    settled = classes.select("cls", "rep", "n", "label", *hashes).join(counts, "cls", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    settled = settled.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     settled = materialise(settled, "settled")
-    linked = rows.where("good").join(settled, ["label", "vec"]).select("id", "n_links", F.col("component").alias("component_id"))
+    linked = rows.where("good").select("id", "label", *hashes).join(settled, ["label", "h1", "h2"]).select("id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
