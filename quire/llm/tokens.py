@@ -1,13 +1,15 @@
 """Encoding with the tokenizers library, with a bounded memory of pieces already encoded.
 
-The tokenizer drops white space and never lets a token cross it, so a text's ids are those of its
-white-space-separated chunks in turn. Each distinct chunk is encoded once by the library and remembered. Chunks of plain
-Latin letters, digits and ASCII signs are cut as the tokenizer's own pre-tokenizer cuts them, and each piece
-goes through the library's BPE model; every other chunk goes through the library as a whole.
+A tokenizer whose normaliser and pre-tokenizer are those in KNOWN drops white space and never lets a token cross it, so a
+text's ids are those of its white-space-separated chunks in turn. Each distinct chunk is encoded once by the library and
+remembered. Chunks of plain Latin letters, digits and ASCII signs are cut as that pre-tokenizer cuts them, and each piece goes
+through the library's BPE model; every other chunk goes through the library as a whole. With any other tokenizer, every whole
+text does.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -16,6 +18,19 @@ import numpy as np
 END_ID = 2
 #: Chunks and pieces remembered by a Python worker; beyond them the memory is emptied and filled again.
 CHUNKS, PIECES = 400_000, 600_000
+#: Characters of the longest chunk or piece that is remembered.
+LONGEST = 200
+# The normaliser and pre-tokenizer of word_bpe_49k.json, which the shorter way below is for.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Characters that Python's split() takes as white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks that are already in NFC and whose lower case and cuts are the same in Python and in the tokenizer.
@@ -38,6 +53,10 @@ class Chunks(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = [t["content"] for t in told.get("added_tokens") or []]
+        self.by_chunks = all(told.get(k) == v for k, v in KNOWN.items()) and told["model"]["type"] == "BPE" and all(t.startswith("<") and t.isascii() and not re.search(r"\s", t) for t in added)
         self.model = self.library.model
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
@@ -52,7 +71,8 @@ class Chunks(dict):
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             got = self.pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-            self.pieces[piece] = got
+            if len(piece) < LONGEST:
+                self.pieces[piece] = got
         return got
 
     def __missing__(self, chunk: str) -> bytes:
@@ -62,7 +82,7 @@ class Chunks(dict):
             got = self.pack(self.library.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= CHUNKS:
             self.clear()
-        if len(chunk) < 200:
+        if len(chunk) < LONGEST:
             self[chunk] = got
         return got
 
@@ -70,7 +90,7 @@ class Chunks(dict):
         """The ids of a whole text; none for a null text."""
         if not text:
             return np.empty(0, self.type)
-        if _ODD.search(text):
+        if not self.by_chunks or _ODD.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.type)
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.type)
 
