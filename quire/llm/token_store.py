@@ -157,13 +157,33 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(docs.tolist(), known, strict=True)], lengths, ids
 
 
+def read_span(stream: io.RawIOBase, size: int, first: int, n: int) -> np.ndarray:
+    """Ids first .. first + n of a file of `size` bytes: its footer and the blocks that hold them are read, nothing else."""
+    stream.seek(size - _TAIL.size)
+    footer_size, crc, magic = _TAIL.unpack(stream.read(_TAIL.size))
+    stream.seek(size - _TAIL.size - footer_size)
+    footer = stream.read(footer_size)
+    if magic != MAGIC or zlib.crc32(footer) != crc:
+        raise ValueError("not a whole file of token blocks")
+    n_blocks, _, total = struct.unpack_from("<QQQ", footer)
+    starts = np.append(np.frombuffer(footer, "<u8", n_blocks, 24).astype(np.int64), size - _TAIL.size - footer_size)
+    first, end = min(max(first, 0), total), min(max(first, 0) + max(n, 0), total)
+    if first == end:
+        return np.empty(0, np.uint32)
+    a, b = first // BLOCK, -(-end // BLOCK)
+    stream.seek(int(starts[a]))
+    data = np.frombuffer(stream.read(int(starts[b] - starts[a])), np.uint8)
+    return decode_blocks(data, starts[a:b] - starts[a])[first - a * BLOCK : end - a * BLOCK]
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, percentile: float = PERCENTILE) -> str:
     """Encode every whole text, append the end id, and write files in ascending order of id; returns the folder.
 
     Sampled splitters deal the documents by id, so that each task writes files of a range of its own, in the folder under the
     shared one. A file gets a name of its own in each attempt, and the table `manifest` beside them names those of the attempts
     that counted: a repeated task leaves an orphan, never a wrong row. Null ids come first; rows that share an id are in the
-    order of their texts. A null text is empty: its end id alone. Other columns are not read.
+    order of their texts' hashes, so that many of them don't meet in one task. A null text is empty: its end id alone.
+    `tokenizer` is the path of any tokenizers file on the executors. Other columns are not read.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -196,7 +216,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     rows.mapInArrow(run, "file string, part long, number long, docs long, ids long, bytes long").write.parquet(f"{path}/manifest")
     return path
 
@@ -205,8 +226,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     """(id, start, n_tokens, ids_crc32[, ids]) for every document of a folder that write_tokens has written."""
     tune(spark)
     manifest = spark.read.schema("file string, part long, number long, docs long, ids long, bytes long").parquet(f"{path}/manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    files = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    # sums over the tasks' totals, a row a task, then inside each task's files
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("all")).select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.join(parts, "part").select("file", (F.col("base") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("start"))
     n_files = manifest.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
