@@ -48,6 +48,64 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+class Ends:
+    """ends[state]: the places (sequence, word) where a state's substrings end, which are its own and those of all that link to it.
+
+    Own places are listed once, in the order of a walk over the tree of links; a state's are one stretch of that list, so memory
+    grows with the words of the sequences.
+    """
+
+    def __init__(self, link: list[int], own: list[set[tuple[int, int]]]):
+        below: list[list[int]] = [[] for _ in link]
+        for v in range(1, len(link)):
+            below[link[v]].append(v)
+        self.places: list[tuple[int, int]] = []
+        self.first, self.last = [0] * len(link), [0] * len(link)
+        stack = [(0, False)]
+        while stack:
+            v, left = stack.pop()
+            if left:
+                self.last[v] = len(self.places)
+                continue
+            self.first[v] = len(self.places)
+            self.places += sorted(own[v])
+            stack.append((v, True))
+            stack += [(x, False) for x in below[v]]
+
+    def __getitem__(self, state: int) -> list[tuple[int, int]]:
+        return sorted(self.places[self.first[state] : self.last[state]])
+
+
+class Pairs:
+    """Which pairs of neighbouring words are in a licence (1) or in a phrase (2): a small table of slots, then the sorted pairs."""
+
+    SLOTS = 1 << 20
+
+    def __init__(self, sequences: list[tuple[list[int], int]]):
+        kinds: dict[int, int] = {}
+        for words, kind in sequences:
+            for a, b in zip(words, words[1:], strict=False):
+                kinds[a << 32 | b] = max(kind, kinds.get(a << 32 | b, 0))
+        self.codes = np.array(sorted(kinds), np.int64)
+        self.kinds = np.array([kinds[c] for c in sorted(kinds)], np.int8)
+        self.slots = np.zeros(self.SLOTS, bool)
+        self.slots[self._slot(self.codes >> 32, self.codes & 0xFFFFFFFF)] = True
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * 40_503 + b) & (self.SLOTS - 1)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """The kind of each pair of neighbours; 0 for none."""
+        a, b = ids[:-1], ids[1:]
+        at = np.flatnonzero(self.slots[self._slot(a, b)])
+        code = a[at] << 32 | b[at]
+        place = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        out = np.zeros(len(a), np.int8)
+        if len(self.codes):
+            out[at] = np.where(self.codes[place] == code, self.kinds[place], 0)
+        return out
+
+
 class Automaton:
     """All words of several sequences at once: the states are classes of substrings that end at the same places."""
 
@@ -60,9 +118,7 @@ class Automaton:
             for at, word in enumerate(sequence):
                 last = self._extend(last, word, ends)
                 ends[last].add((which, at))
-        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            ends[self.link[v]] |= ends[v]
-        self.ends = [tuple(sorted(e)) for e in ends]
+        self.ends = Ends(self.link, ends)
 
     def _state(self, length: int, following: dict[int, int], link: int, ends: list) -> int:
         self.next.append(following)
@@ -124,13 +180,9 @@ class Scanner:
         coded = [[self.vocabulary[w] for w in ws] for _, ws in cut + phrase]
         self.automaton = Automaton(coded)
         self.labels, self.sizes, self.templates = [x for x, _ in cut], [len(ws) for _, ws in cut], len(cut)
-        n = len(names) + 1
-        self.pairs = np.zeros((n, n), np.int8)
-        for sequence in coded:
-            self.pairs[sequence[:-1], sequence[1:]] = 1
+        self.pairs = Pairs([(sequence, 1 if k < self.templates else 2) for k, sequence in enumerate(coded)])
         marks: list[tuple[tuple[int, str], ...]] = [()] * len(self.automaton.next)
         for (label, _), sequence in zip(phrase, coded[self.templates :], strict=True):
-            self.pairs[sequence[:-1], sequence[1:]] = 2
             *_, (state, _) = self.automaton.statistics(sequence)
             marks[state] += ((len(sequence), label),)
         for v in sorted(range(1, len(marks)), key=self.automaton.length.__getitem__):
@@ -140,10 +192,10 @@ class Scanner:
     def scan(self, text: bytes) -> Scan:
         words = split_words(text)
         found = Scan(len(words), [], [])
-        ids = np.array(list(map(self.vocabulary.get, words, repeat(0))), np.int32)
+        ids = np.array(list(map(self.vocabulary.get, words, repeat(0))), np.int64)
         if len(ids) < 2:
             return found
-        pair = self.pairs[ids[:-1], ids[1:]]
+        pair = self.pairs.of(ids)
         # Matches of two or more words lie in stretches whose every pair of neighbours is a pair of some licence.
         edge = np.diff(np.concatenate([[0], pair > 0, [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
