@@ -18,13 +18,15 @@ from .runtime import raw, tune
 BUCKETS, SIZE, SUBWORDS = 1 << 15, 16, (2, 3, 4)
 #: Of the rolling hash, modulo 2^32.
 FACTOR, MIXER = np.uint32(16_777_619), np.uint32(2_654_435_769)
-#: Bounds of the training sample: documents of a language, languages (the commonest).
-PER_LANG, MAX_LANGS = 400, 256
+#: Bounds of the training sample: documents of a language, languages (more are an error), bytes of a document, of all documents.
+PER_LANG, MAX_LANGS, MAX_BYTES, ALL_BYTES = 400, 256, 1 << 15, 256 << 20
+#: Documents above MAX_BYTES that a language without shorter ones is learnt from.
+LONG_DOCS = 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Share of clean validation documents that the rejection threshold may cost.
 REJECTED = 0.001
-#: Words remembered by a Python worker.
-WORDS = 600_000
+#: Words remembered by a Python worker, and bytes of the longest of them; bytes of a longer word that are hashed at once.
+WORDS, WORD_BYTES, STRETCH = 600_000, 64, 1 << 18
 
 _SPACES = bytes(0x20 if b < 0x80 and not chr(b).isalpha() else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -57,7 +59,11 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(h[inside])
             owners.append(owner[: len(h)][inside])
     h = np.concatenate(hashes)
-    return (((h ^ (h >> np.uint32(15))) * MIXER) >> np.uint32(8)).astype(np.int64) % BUCKETS, np.concatenate(owners)
+    return _bucket(h), np.concatenate(owners)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint32(15))) * MIXER) >> np.uint32(8)).astype(np.int64) % BUCKETS
 
 
 def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,28 +143,57 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
+def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, max_bytes: int = MAX_BYTES, all_bytes: int = ALL_BYTES) -> Model | None:
     """A model from at most `per_lang` documents of each language that aren't held out and have text and language.
 
-    The documents are chosen by a hash of their id, in two passes: counts, then the documents below each language's share of
-    the hash range. None without such documents.
+    The documents are chosen by a hash of id and text, in two passes: how many different ones a language has, then those below
+    its share of the hash range, repeats being one; so the choice depends on nothing but the rows. Documents of more than
+    `max_bytes` bytes are learnt from only in a language that has no shorter ones, LONG_DOCS of them; where the languages'
+    documents would together have more than about `all_bytes` bytes, fewer of each are taken, 20 at least. More than `max_langs`
+    languages are an error, never left out. None without such documents.
     """
-    known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("place"))
+    known = known.withColumn("long", F.octet_length("text") > max_bytes)
+    found = known.groupBy("lang", "long").agg(F.approx_count_distinct("place", 0.02).alias("n"), F.avg(F.octet_length("text")).alias("bytes")).limit(2 * max_langs + 1).collect()
+    if not found:
         return None
-    spread = 1 << 30
-    place = F.pmod(F.xxhash64("id"), F.lit(spread))
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (per_lang + 4 * per_lang**0.5) / r["count"]) * spread))])
-    rows = known.withColumn("place", place).where(F.col("place") < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0))).limit(2 * per_lang * len(counts)).collect()
+    langs = {r["lang"] for r in found}
+    if len(langs) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs")
+    room = lambda r: min(per_lang, max(20, int(all_bytes / len(langs) / max(1.0, r["bytes"]))))
+    wanted = {(r["lang"], r["long"]): LONG_DOCS if r["long"] else room(r) for r in found if not r["long"] or not any(x["lang"] == r["lang"] and not x["long"] for x in found)}
+    share = lambda r: min(1.0, 1.2 * (wanted[r["lang"], r["long"]] + 4 * wanted[r["lang"], r["long"]] ** 0.5) / max(1, r["n"]))
+    least = -(1 << 63)
+    upto = F.create_map(*[F.lit(x) for r in found if (r["lang"], r["long"]) in wanted for x in (f"{int(r['long'])}{r['lang']}", min((1 << 63) - 1, least + int(share(r) * (1 << 64))))])
+    near = known.where(F.col("place") <= F.element_at(upto, F.concat(F.col("long").cast("int").cast("string"), F.col("lang"))))
+    rows = near.groupBy("lang", "place", "long").agg(F.min("text").alias("text")).collect()
     taken: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["place"], r["id"], r["text"])):
-        if len(own := taken.setdefault(r["lang"], [])) < per_lang:
+    for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
+        if len(own := taken.setdefault(r["lang"], [])) < wanted[r["lang"], r["long"]]:
             own.append(r["text"].encode())
     pairs = [(t, lang) for k in range(per_lang) for lang in sorted(taken) for t in taken[lang][k : k + 1]]
     return train([t for t, _ in pairs], [x for _, x in pairs])
 
 
+def long_word(word: bytes) -> Iterator[np.ndarray]:
+    """The buckets that subwords() has for one word, a stretch of the word at a time."""
+    text = np.frombuffer(b"<" + word + b">", np.uint8)
+    whole, power = 0, np.uint32(1)
+    for k in range(0, len(text), STRETCH):
+        own = text[k : k + STRETCH].astype(np.uint32)
+        powers = np.cumprod(np.full(len(own), FACTOR, np.uint32), dtype=np.uint32) * power
+        whole, power = whole + int((own * powers).sum(dtype=np.uint32)), powers[-1]
+        for n in SUBWORDS:
+            part = text[k : k + STRETCH + n - 1].astype(np.uint32)
+            if len(part) >= n:
+                h = np.full(len(part) - n + 1, n, np.uint32)
+                for i in range(n):
+                    h = h * FACTOR + part[i : len(part) - n + 1 + i]
+                yield _bucket(h)
+    yield _bucket(np.array([whole % (1 << 32)], np.uint32))
+
+
 class Predictor:
     """Sums of logits by word, remembered: a text's logits are the mean over all subwords of all its words."""
 
@@ -184,13 +219,23 @@ class Predictor:
             return None
         if len(self.known) > WORDS:
             self.known.clear()
+        total, count = np.zeros(len(self.model.langs)), 0
+        if len(max(words, key=len)) > WORD_BYTES:  # a text without blanks, for one: its sums are not remembered
+            for word in words:
+                if len(word) > WORD_BYTES:
+                    for bucket in long_word(word):
+                        total += self.model.table[bucket].sum(0, dtype=np.float64)
+                        count += len(bucket)
+            words = [x for x in words if len(x) <= WORD_BYTES]
+        if not words:
+            return _softmax(total / count)
         at = list(map(self.known.get, words))
         if None in at:
             self._learn(list(set(words).difference(self.known)))
             at = list(map(self.known.__getitem__, words))
         at = np.array(at, np.int64)
-        total = self.sums[at].sum(0, dtype=np.float64)
-        return _softmax(total / self.counts[at].sum(dtype=np.int64))
+        total += self.sums[at].sum(0, dtype=np.float64)
+        return _softmax(total / (count + self.counts[at].sum(dtype=np.int64)))
 
 
 @lru_cache(maxsize=1)
@@ -201,8 +246,9 @@ def _predictor(model: Model) -> Predictor:
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row, from its whole text alone.
 
-    A null text, one without a letter, or any text if there is no model: `und`, score 0, rejected. Else the language of the
-    highest calibrated probability, which is the score; rejected if the score is below the model's threshold.
+    A null text or one without a letter: `und`, score 0, rejected. Else the language of the highest calibrated probability,
+    which is the score; rejected if the score is below the model's threshold. Without a model (no labelled document to
+    learn from) every text with a letter is `und` with score 0 and not rejected, as nothing speaks against it.
     """
     return _mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model, None)
 
@@ -224,6 +270,11 @@ def _mapped(rows: DataFrame, model: Model | None, carried) -> DataFrame:
             langs, scores, rejected = [], [], []
             for text in raw(b.column(1)):
                 p = predictor.scores(text) if predictor and text is not None else None
+                if predictor is None:
+                    langs.append("und")
+                    scores.append(0.0)
+                    rejected.append(text is None or not has_letter(text))
+                    continue
                 best = -1 if p is None else int(p.argmax())
                 langs.append("und" if p is None else model.langs[best])
                 scores.append(0.0 if p is None else float(p[best]))
