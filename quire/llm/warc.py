@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import file_system, materialise, new_path, tune
+from .runtime import file_system, materialise, new_path, small, tune
 
 #: Compressed bytes in an archive; a task begins another one beyond them.
 FILE_BYTES = 256 << 20
@@ -31,7 +31,7 @@ def digest(payload: bytes) -> str:
 
 
 def record_id(kind: str, page: str) -> str:
-    """A record's identifier follows from its kind and page, so that a repeated task writes the same."""
+    """A record's identifier follows from its kind and its capture's serial, which no other capture of a write has."""
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{kind}:{page}')}>"
 
 
@@ -49,10 +49,10 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def capture(serial: str, page: int | None, url: str | None, payload: bytes, refers: str | None, refers_page: int | None) -> bytes:
-    """The three records of a page: request, response or revisit, metadata. `serial` tells apart pages that share an id."""
+def capture(serial: str, page: int | None, url: str | None, payload: bytes | None, size: int, sha: str, refers: str | None, refers_page: int | None) -> bytes:
+    """The three records of a page: request, response or revisit, metadata. A revisit needs its payload's size and digest alone."""
     uri = _clean(url or "about:blank")
-    main, sha = record_id("main", serial), digest(payload)
+    main = record_id("main", serial)
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     request = record("request", [("WARC-Record-ID", record_id("request", serial)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -61,14 +61,14 @@ def capture(serial: str, page: int | None, url: str | None, payload: bytes, refe
         answer = record("response", headers, http + payload)
     else:
         answer = record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", refers)], http)
-    fields = {"page-id": page, "payload-bytes": len(payload), "has-url": int(url is not None), "refers-to-page-id": refers_page}
+    fields = {"page-id": page, "payload-bytes": size, "has-url": int(url is not None), "refers-to-page-id": refers_page}
     notes = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None).encode()
     meta = record("metadata", [("WARC-Record-ID", record_id("metadata", serial)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/warc-fields")], notes)
     return _member(request) + _member(answer) + _member(meta)
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an uncompressed stream."""
+    """(headers with lower-case names, block) of each record of an uncompressed stream; repeated concurrent-to headers are joined by blanks."""
     while line := stream.readline():
         if line in (b"\r\n", b"\n"):
             continue
@@ -77,7 +77,8 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         headers = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            headers[name] = f"{headers[name]} {value}" if name == "warc-concurrent-to" and name in headers else value
         size = int(headers.get("content-length", 0))
         block = stream.read(size)
         if len(block) < size:
@@ -88,44 +89,53 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> str:
     """Write every row's records into gzipped archives (a member a record) in the shared folder; returns the folder.
 
-    Of rows with equal payloads of at least `min_bytes` bytes the one with the largest id is a response, the others revisit it;
-    of rows that share id and url too, one a task. Smaller payloads are all responses. Null html is empty; null ids are the smallest; a
-    null url is about:blank. Archives get a name of their own in each attempt; the table `manifest` names those that count.
+    Of rows with equal payloads of at least `min_bytes` bytes the one with the largest id is the response, the others revisit it; of
+    rows that share this id the one with the largest hash of its url, and of rows that share that too, any one. Smaller payloads are
+    all responses. Null html is empty; null ids are the smallest; a null url is about:blank. Every record has an identifier of its own.
+    Archives get a name of their own in each attempt; the table `manifest` names those that count.
+
+    Only digests, ids and hashes of urls are grouped. Verdicts are broadcast if there are few; if not, pages are shuffled once by digest,
+    where AQE splits a digest that has many. Of rows that are alike in id, url and payload only one keeps its payload on its way.
     """
     spark = pages.sparkSession
     tune(spark)
     path = path or new_path(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    # Only digests are grouped: one row a payload and task, however many copies there are.
-    keyed = rows.withColumn("sha", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
-    rank = F.struct(F.coalesce("page", F.lit(-(1 << 63))).alias("p"), F.xxhash64("url").alias("u"))
-    most = keyed.groupBy("sha", "bytes").agg(F.max(rank).alias("top"), F.count("*").alias("copies")).where(f"copies > 1 and bytes >= {int(min_bytes)}")
+    keyed = rows.withColumn("sha", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
+    place, link = F.coalesce("page", F.lit(-(1 << 63))).alias("p"), F.xxhash64("url").alias("u")
+    alike = keyed.where(f"bytes >= {int(min_bytes)}").groupBy("sha", "bytes", place, link).agg(F.count("*").alias("alike"))
+    most = alike.groupBy("sha", "bytes").agg(F.max(F.struct("p", "u", "alike")).alias("top"), F.sum("alike").alias("copies")).where("copies > 1")
     most = materialise(most.select("sha", "bytes", "top"), "copied")
-    dealt = keyed.join(most, ["sha", "bytes"], "left").select("page", "url", "html", "top", (rank == F.col("top")).alias("is_top"))
+    is_top = (place == F.col("top.p")) & (link == F.col("top.u"))
+    judged = keyed.join(small(most), ["sha", "bytes"], "left").withColumn("response", F.coalesce(is_top, F.lit(True)))
+    columns = ["page", "url", "sha", "bytes", "top.p", "response", (F.col("top").isNotNull()).alias("copied")]
+    tied = F.col("response") & F.coalesce(F.col("top.alike") > 1, F.lit(False))
+    dealt = judged.where(~tied).select(*columns, F.when(F.col("response"), F.col("html")).alias("html"))
+    if not most.where("top.alike > 1").isEmpty():
+        # alike in all: counted, and written as one response and revisits
+        one = judged.where(tied).groupBy("page", "url", "sha", "bytes", "top").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+        one = one.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("response", F.col("k") == 1)
+        one = one.repartition("sha", "k").select(*columns, F.when(F.col("response"), F.col("html")).alias("html"))
+        dealt = dealt.unionByName(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, fs_folder, stream, name, size, number, seen = TaskContext.get().partitionId(), None, None, "", 0, 0, 0
-        tops: set = set()
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["file", "bytes"])
 
         for b in batches:
-            for page, url, html, top, is_top in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+            for page, url, sha, length, top, response, copied, html in zip(*[b.column(k).to_pylist() for k in range(8)], strict=True):
                 if stream is None:
                     fs_folder = file_system(path)
                     fs_folder[0].create_dir(f"{fs_folder[1]}/archives", recursive=True)
                     name, size = f"{part:08d}-{number:04d}-{uuid.uuid4().hex}.warc.gz", 0
                     stream = fs_folder[0].open_output_stream(f"{fs_folder[1]}/archives/{name}", compression=None)
-                payload, seen = html.encode(), seen + 1
-                key = None if top is None else (top["p"], top["u"])
-                response = key is None or (is_top and (key, len(payload), hashlib.sha1(payload).digest()) not in tops)
-                if key is not None and response:
-                    tops.add((key, len(payload), hashlib.sha1(payload).digest()))
-                serial = f"{page}:{digest(payload)}:top" if key is not None and response else f"{page}:{part}:{seen}"
-                top_page = None if key is None or key[0] == -(1 << 63) else key[0]
-                refers = None if response else record_id("main", f"{top_page}:{digest(payload)}:top")
-                data = capture(serial, page, url, payload, refers, None if response else top_page)
+                seen += 1
+                serial = f"{sha}:{length}:top" if copied and response else f"{sha}:{length}:{part}:{seen}"
+                top_page = None if not copied or top == -(1 << 63) else top
+                refers = None if response else record_id("main", f"{sha}:{length}:top")
+                data = capture(serial, page, url, html.encode() if response else None, length, base64.b32encode(bytes.fromhex(sha)).decode(), refers, None if response else top_page)
                 stream.write(data)
                 size += len(data)
                 if size >= FILE_BYTES:
@@ -140,7 +150,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     return path
 
 
-_RECORD = "file string, record_id string, kind string, concurrent_to string, refers_to string, uri string, digest string, block_bytes long, payload_bytes long, payload binary, fields map<string,string>"
+_RECORD = "file string, record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, block_bytes long, payload_bytes long, payload binary, fields map<string,string>"
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -152,7 +162,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(path)
         names = [x.split(" ")[0] for x in _RECORD.split(", ")]
-        types = [pa.string()] * 7 + [pa.int64(), pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
+        types = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
         out, held = [], 0
 
         def emit() -> pa.RecordBatch:
@@ -172,7 +182,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                             told, size = digest(payload), len(payload)
                         elif kind == "metadata":
                             fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
-                        out.append((name, h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), told, len(block), size, payload if with_payload else None, list(fields.items())))
+                        out.append((name, h.get("warc-record-id"), kind, h.get("warc-concurrent-to", "").split(), h.get("warc-refers-to"), h.get("warc-target-uri"), told, len(block), size, payload if with_payload else None, list(fields.items())))
                         held += len(block) * with_payload + 500
                         if held > 8 << 20:
                             yield emit()
@@ -183,22 +193,31 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def captures(found: DataFrame) -> DataFrame:
-    """Transactions: one nested row a capture, request, answer and metadata being joined through concurrent-to identifiers.
+    """Transactions: one nested row a capture: capture, request, answer, metadata, joined through concurrent-to identifiers.
 
-    The answer is a response or revisit record; request and metadata name its identifier. A capture without a request or without
-    metadata has null there; requests and metadata whose answer is missing have null as the answer. The key is an archive and an
-    identifier in it, so none has more than its three records.
+    The answer is a response or revisit record. request and metadata are arrays of all such records that name its identifier, in
+    whatever archive, in the order of archive and identifier; empty where there is none. A record that names several answers is in
+    the capture of each; one that names none makes a capture of its own identifier; records whose answer is missing have null as the
+    answer. Records that repeat an answer's identifier (an archive read twice) are captures of their own, with the same requests
+    and metadata. A capture is one row, so its records must fit one.
     """
-    whole = F.struct("record_id", "kind", "refers_to", "uri", "digest", "block_bytes", "payload_bytes", "payload", "fields")
-    keyed = found.select("file", F.coalesce("concurrent_to", "record_id").alias("capture"), "kind", whole.alias("r"))
-    pick = lambda *kinds: F.any_value(F.when(F.col("kind").isin(*kinds), F.col("r")), ignoreNulls=True)
-    return keyed.groupBy("file", "capture").agg(pick("request").alias("request"), pick("response", "revisit").alias("answer"), pick("metadata").alias("metadata"))
+    whole = F.struct("file", "record_id", "kind", "refers_to", "uri", "digest", "block_bytes", "payload_bytes", "payload", "fields")
+    is_answer = F.col("kind").isin("response", "revisit")
+    named = F.when(~is_answer & (F.size("concurrent_to") > 0), F.array_distinct("concurrent_to")).otherwise(F.array("record_id"))
+    keyed = found.where(F.col("kind").isin("request", "response", "revisit", "metadata")).select(F.explode(named).alias("capture"), "kind", whole.alias("r"))
+    order = lambda a, b: F.when(a["file"] < b["file"], -1).when(a["file"] > b["file"], 1).when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
+    all_of = lambda *kinds: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), F.col("r"))), order)
+    grouped = keyed.groupBy("capture").agg(all_of("request").alias("request"), all_of("response", "revisit").alias("answers"), all_of("metadata").alias("metadata"))
+    return grouped.select("capture", "request", F.explode_outer("answers").alias("answer"), "metadata")
 
 
 def pages_read(assembled: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every capture that has an answer and metadata."""
-    of = lambda k: F.col("metadata.fields")[k]
-    return assembled.where("answer is not null and metadata is not null").select(
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every capture that has an answer and metadata.
+
+    Of several metadata records the first that has a field counts.
+    """
+    of = lambda k: F.get(F.filter(F.transform("metadata", lambda m: m["fields"][k]), lambda v: v.isNotNull()), F.lit(0))
+    return assembled.where(F.col("answer").isNotNull() & (F.size("metadata") > 0)).select(
         of("page-id").cast("long").alias("page_id"),
         F.when(of("has-url") == "1", F.col("answer.uri")).alias("url"),
         F.coalesce("answer.payload_bytes", of("payload-bytes").cast("long")).alias("payload_bytes"),
