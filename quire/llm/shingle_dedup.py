@@ -1,4 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, whole sets of shingles decide."""
+"""SimHash near-duplicates held to a similarity: wide fingerprints compared bit-sliced, whole sets of shingles decide.
+
+Two sets of similarity 0.8 differ in 15% of a fingerprint's bits or, if they are small, 19%: about 10 of 64, so that choices of
+equal blocks as bucket keys find them no more. Hence buckets are made by minima of the shingles' hashes; inside a bucket
+simhash.close_pairs() compares fingerprints of 256 bits at a radius of 80 (five standard deviations above 0.19 * 256), and
+the sets of every pair that it leaves are compared in full.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, local_roots
-from .runtime import BROADCAST_ROWS, materialise, raw, tune
+from .rows import ROW, keep_one, numbered
+from .runtime import materialise, raw, small, tune
+from .simhash import close_pairs
 
 #: Words of a shingle; the similarity from which two texts are near copies, as a fraction so that it is compared in integers.
 SHINGLE, SIMILARITY, SEED = 5, (4, 5), 42
@@ -19,9 +27,10 @@ SHINGLE, SIMILARITY, SEED = 5, (4, 5), 42
 BANDS, DEPTH = 32, 5
 #: Texts and shingles of a group that are compared in one task; larger groups are cut into tiles, which meet pairwise.
 TILE, TILE_SHINGLES = 2048, 1_000_000
-#: Shingles that are permuted, and places in postings that are counted, at once.
+#: Numbers of 64 bits in a fingerprint, and the differing bits up to which a pair's sets are compared.
+WIDTH, RADIUS = 4, 80
+#: Shingles that are permuted, and shingles that are looked up, at once.
 CHUNK, PLACES = 4096, 1 << 22
-ROW = "__quire_row"
 
 _random = np.random.default_rng(SEED)
 _FACTORS = (_random.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
@@ -56,44 +65,72 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.string()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], names=["row", "digest", "n", "keys"])
 
 
-def close_sets(sets: list[np.ndarray], probes: np.ndarray, targets: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
-    """For each probe, the other targets whose sets are at least that similar: every overlap is counted, none is estimated."""
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WIDTH numbers: a bit is set if more than half of the shingles' mixed hashes have it."""
+    out = np.empty(WIDTH, np.uint64)
+    for w in range(WIDTH):
+        total = np.zeros(64, np.int64)
+        for k in range(0, len(own), 1 << 15):
+            h = own[k : k + (1 << 15)] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+            total += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.uint32)
+        out[w] = np.packbits(total * 2 > len(own)).view(np.uint64)[0]
+    return out
+
+
+def linked_roots(sets: list[np.ndarray], tile: np.ndarray, across: bool, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """For each set the smallest place reached by links of at least that similarity; if `across`, between different tiles only.
+
+    Pairs within the radius are looked at unless they are already joined; their overlap is counted in full, never estimated.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
+    root = np.arange(len(sets))
+    if not sizes.any():
+        return root
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     begins = np.cumsum(sizes) - sizes
-    is_target = np.zeros(len(sets), bool)
-    is_target[targets] = True
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    held = is_target[owner]
-    order = np.argsort(codes[held], kind="stable")
-    posted = owner[held][order]
-    length = np.bincount(codes[held], minlength=int(codes.max(initial=-1)) + 1)
-    start = np.cumsum(length) - length
-    for i in probes:
-        own = codes[begins[i] : begins[i] + sizes[i]]
-        many = length[own]
-        step = max(1, PLACES // max(1, int(many.max(initial=1))))
-        shared = np.zeros(len(sets), np.int64)
-        for k in range(0, len(own), step):
-            m, s = many[k : k + step], start[own[k : k + step]]
-            shared += np.bincount(posted[np.repeat(s - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))], minlength=len(sets))
-        near = is_target & (shared * similarity[1] >= (sizes + sizes[i] - shared) * similarity[0])
-        near[i] = False
-        yield int(i), np.flatnonzero(near)
+    prints = np.stack([wide_fingerprint(s) for s in sets])
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    for i, j in close_pairs(prints, np.zeros(1, np.int64), RADIUS):
+        few, many = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        left = (few > 0) & (few * similarity[1] >= many * similarity[0]) & (root[i] != root[j])
+        if across:
+            left &= tile[i] != tile[j]
+        i, j = i[left], j[left]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for probe, at, end in zip(*_stretches(i), strict=True):
+            its = codes[begins[probe] : begins[probe] + sizes[probe]]
+            mark[its] = 1
+            others = j[at:end]
+            others = others[root[others] != root[probe]]
+            while len(others):
+                upto = max(1, int(np.searchsorted(np.cumsum(sizes[others]), PLACES, "right")))
+                now, others = others[:upto], others[upto:]
+                n = sizes[now]
+                first = np.cumsum(n) - n
+                shared = np.add.reduceat(mark[codes[np.repeat(begins[now] - first, n) + np.arange(int(n.sum()))]], first)
+                now = now[shared * similarity[1] >= (sizes[probe] + n - shared) * similarity[0]]
+                if len(now):
+                    root = local_roots(len(sets), root[now], np.full(len(now), root[probe]))[root]
+            mark[its] = 0
+    return root
+
+
+def _stretches(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Each distinct value with the first place it has and the place behind its last."""
+    value, first = np.unique(sorted_values, return_index=True)
+    return value.tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_values)][: len(value)]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], size: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows (component, a, b, own tile, row, text) sorted by the first three -> edges that join what close pairs join."""
 
     def links(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        tile = np.array([h[0] for h in held])
         rows = np.array([h[1] for h in held])
-        sets = [h[2] for h in held]
-        root = np.arange(len(rows))
-        for i, js in close_sets(sets, np.flatnonzero(tile == at[1]), np.flatnonzero(tile == at[2]), similarity):
-            js = js[root[js] != root[i]]
-            if len(js):
-                root = local_roots(len(rows), root[js], np.full(len(js), root[i]))[root]
+        root = linked_roots([h[2] for h in held], np.array([h[0] for h in held]), at[1] != at[2], similarity)
         moved = np.flatnonzero(root != np.arange(len(rows)))
         yield pa.RecordBatch.from_arrays([pa.array(rows[moved], pa.int64()), pa.array(rows[root[moved]], pa.int64())], names=["u", "v"])
 
@@ -115,11 +152,10 @@ def near_copies(rows: DataFrame, row_col: str = ROW, text_col: str = "text", siz
 
     Rows are linked if the Jaccard similarity of their sets of shingles is at least `similarity`. Equal sets are one class.
     Classes that share a band's key, also through others, make a group, which is only where pairs are looked for: inside it
-    the overlap of every pair is counted. A group beyond `tile` texts is cut into tiles by hash, and each pair of tiles is a
+    all fingerprints are compared bit-sliced, and the sets of all pairs within the radius in full. A group beyond `tile` texts is cut into tiles by hash, and each pair of tiles is a
     task's group of its own; nothing is dropped.
     """
     tune(rows.sparkSession)
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     read = rows.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     signed = materialise(read.mapInArrow(lambda it: _signed(it, size), "row long, digest string, n long, keys array<long>"), "signatures")
     classes = materialise(signed.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
@@ -141,22 +177,6 @@ def near_copies(rows: DataFrame, row_col: str = ROW, text_col: str = "text", siz
     return signed.select("row", "digest").join(small(materialise(member, "members")), "digest").select("row", "component")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, written so that it stays."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def keep_one(rows: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of numbered rows, those in no group and one of each: the smallest id (null ids last), then the smallest text's hash, then row number."""
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    ranked = rows.select(F.col(ROW).alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(ROW).alias("row")).alias("rank"))
-    groups = materialise(groups, "members")
-    ranked = materialise(ranked.join(small(groups), "row"), "ranked")
-    best = materialise(ranked.groupBy("component").agg(F.min("rank").alias("best")).select(F.col("best.row").alias("row")), "best")
-    gone = materialise(ranked.select("row").join(small(best), "row", "left_anti").select(F.col("row").alias(ROW)), "gone")
-    return rows.join(small(gone), ROW, "left_anti").drop(ROW)
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that are nobody's near copy, and one row of each component of near copies, as keep_one() chooses it."""
     rows = numbered(docs)

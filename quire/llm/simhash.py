@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, local_roots
 from .runtime import BROADCAST_ROWS, materialise, raw, tune
-from .shingle_dedup import ROW, keep_one, numbered
+from .rows import ROW, keep_one, numbered
 
 SEED, SHINGLE, RADIUS, BLOCKS = 42, 3, 3, 5
 #: Fingerprints of a bucket that are compared in one task; larger buckets are cut into tiles, which meet pairwise.
@@ -75,11 +75,13 @@ def bit_planes(fp: np.ndarray, lane: np.ndarray, word_starts: np.ndarray) -> np.
 def close_pairs(fp: np.ndarray, bucket_starts: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs i < j within a bucket whose fingerprints differ in at most `radius` bits.
 
-    The fingerprints of a bucket stand vertically, 64 to a machine word and plane. A work item compares one fingerprint with
-    64 others: carry-save counters take one plane after the other, the sticky carry out of the top counter marks lanes beyond
-    the radius, and every eight planes the items whose 64 lanes all have it are given up. Lanes that remain are counted exactly.
+    A fingerprint is one 64-bit number, or a row of several. The fingerprints of a bucket stand vertically, 64 to a machine word and plane. A work item compares one fingerprint with
+    64 others: carry-save counters take one plane after the other. They begin at what the radius falls short of all ones,
+    so the sticky carry out of the top counter marks lanes beyond the radius; every eight planes the items whose 64 lanes all have it
+    are given up. Lanes that remain are counted exactly.
     """
     n = len(fp)
+    fp = fp.reshape(n, -1)
     sizes = np.diff(np.append(bucket_starts, n))
     words = -(-sizes // 64)
     first_word = np.cumsum(words) - words
@@ -87,11 +89,12 @@ def close_pairs(fp: np.ndarray, bucket_starts: np.ndarray, radius: int = RADIUS)
     lane = (pos % 64).astype(np.uint64)
     word = np.repeat(first_word, sizes) + pos // 64
     starts = np.flatnonzero(lane == 0)
-    planes = bit_planes(fp, lane, starts)
+    planes = np.concatenate([bit_planes(fp[:, w], lane, starts) for w in range(fp.shape[1])])
     filled = np.append(starts[1:], n) - starts
     absent = np.where(filled == 64, np.uint64(0), ONES << np.minimum(filled, 63).astype(np.uint64))
     per_row = np.repeat(first_word + words, sizes) - word
     depth = max(1, int(radius).bit_length())
+    spare = (1 << depth) - 1 - radius
     ends = np.cumsum(per_row)
     at = 0
     while at < n:
@@ -103,9 +106,9 @@ def close_pairs(fp: np.ndarray, bucket_starts: np.ndarray, radius: int = RADIUS)
         at = upto
         # lanes that hold nothing, and in a row's own word the lanes up to its own, are beyond the radius from the start
         over = absent[target] | np.where(step == 0, ONES >> (np.uint64(63) - lane[row]), np.uint64(0))
-        counters = [np.zeros(len(row), np.uint64) for _ in range(depth)]
+        counters = [np.full(len(row), ONES if spare >> k & 1 else 0, np.uint64) for k in range(depth)]
         own = fp[row]
-        for b in range(64):
+        for b in range(len(planes)):
             if b % 8 == 0:
                 alive = over != ONES
                 if not alive.all():
@@ -113,7 +116,7 @@ def close_pairs(fp: np.ndarray, bucket_starts: np.ndarray, radius: int = RADIUS)
                     counters = [c[alive] for c in counters]
                 if not len(row):
                     break
-            carry = planes[b][target] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
+            carry = planes[b][target] ^ (np.uint64(0) - ((own[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
             for k, c in enumerate(counters):
                 counters[k], carry = c ^ carry, c & carry
             over |= carry
@@ -123,7 +126,7 @@ def close_pairs(fp: np.ndarray, bucket_starts: np.ndarray, radius: int = RADIUS)
             bits = np.unpackbits((~over[k : k + (1 << 15)]).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
             item, at_lane = np.nonzero(bits)
             i, j = row[k + item], starts[target[k + item]] + at_lane
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+            near = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= radius
             yield i[near], j[near]
 
 
@@ -208,7 +211,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each component, whatever its rows' ids: the smallest id, null ids last; keep_one() says which of equal ids."""
+    """One row of each component of fingerprints, whatever its rows' ids: the smallest id, null ids last; keep_one() says which of equal ids."""
     rows = numbered(docs)
     groups = simhash_components(rows, ROW, text_col, **how).select(F.col("id").alias("row"), F.col("component_id").alias("component"))
     return keep_one(rows, groups, id_col, text_col)
