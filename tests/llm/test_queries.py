@@ -8,7 +8,8 @@ import pytest
 import corpus_pipeline
 from quire.llm import langid, mixing, queries
 
-from .test_operators import check_packing, library, slow_components, slow_fingerprint  # noqa: F401
+from .test_operators import check_packing, library, slow_components  # noqa: F401
+from .test_whole_jobs import jaccard
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +36,9 @@ def test_pipeline_against_brute_force(spark, sf, library):  # noqa: F811
         if r.doc_id not in rejected and r.text not in texts:
             texts.add(r.text)
             rows.append(r)
-    prints = {r.doc_id: slow_fingerprint(r.text) for r in rows}
-    ids = sorted(prints)
-    root = slow_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3])
+    texts = {r.doc_id: r.text.lower() for r in rows}
+    ids = sorted(texts)
+    root = slow_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if jaccard(texts[a], texts[b]) >= 0.8])
     left = spark.createDataFrame([r for r in rows if root[r.doc_id] == r.doc_id], docs.schema)
     chosen = {r.id for r in mixing.mixture(left, queries.domain, queries.WEIGHTS, corpus_pipeline.SHARE, 1, queries.SEED).collect()}
     want = {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 2] for r in rows if r.doc_id in chosen}
