@@ -1,4 +1,4 @@
-"""Estimates, budgets, durations and rounding as columns."""
+"""Durations and rounding as columns."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,30 +21,3 @@ def duration_ms(value: Column) -> Column:
     plain = r"^(?i)(?:[0-9]+h)?(?:[0-9]+m)?(?:[0-9]+(?:\.[0-9]+)?s)?$"
     total = round_half_up(((part("(?i)([0-9.]+)h") * 60 + part("(?i)([0-9.]+)m")) * 60 + part("(?i)([0-9.]+)s")) * 1000).cast("long")
     return F.when(v.rlike("^[0-9]+$"), F.try_to_number(v, F.lit("999999999999")).cast("long") * 1000).when((v.rlike(iso) | v.rlike(plain)) & (total > 0), total)
-
-
-def backoff_ms(attempts: Column, base: int = 5000, most: int = 600_000) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2), F.least(attempts, F.lit(8))), F.lit(most)).cast("long")
-
-
-def max_output(window: Column) -> Column:
-    """Tokens that a model with this context window may answer with."""
-    derived = F.when(window >= 200_000, 16_384).when(window >= 60_000, 8_192).otherwise(4_096)
-    return F.greatest(F.lit(256), F.least(derived, window - 1_024))
-
-
-def page_class(chars: Column, coverage: Column, images: Column, complex_: Column, min_chars: int = 8, min_coverage: float = 0.002) -> Column:
-    text = (chars >= min_chars) & (coverage >= min_coverage)
-    return F.when(text & complex_, "complex").when(text & (images > 0), "mixed").when(text, "text").when(images > 0, "scanned").when(chars > 0, "text").otherwise("empty")
-
-
-def error_kind(status: Column, body: Column) -> Column:
-    # fixed values: signs of a spent day, of a burst, and of a spent allowance, in the order in which they count
-    day = body.rlike(r"(?i)per[-\s]?day|/ ?day\b|\bdaily\b|per[-\s]?24 hours|insufficient_quota|exceeded your current")
-    burst = body.rlike(r"(?i)per[-\s]?(minute|second|hour)|/ ?(min|sec)\b|rate limit|too many requests|try again in")
-    quota = day | (~burst & body.rlike(r"(?i)quota|resource_exhausted|limit reached|usage limit"))
-    return (
-        F.when(status == 401, "unauthorized").when(status == 403, "forbidden").when(status == 404, "model_missing")
-        .when((status == 429) & quota, "quota").when(status == 429, "rate_limit").when(status.isin(400, 422), "bad_request")
-        .when(status.isin(408, 425) | (status >= 500), "server").otherwise("unknown")
-    )

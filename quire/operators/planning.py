@@ -62,20 +62,9 @@ def interleaved(batches: DataFrame, page: str, order: str) -> DataFrame:
     return batches.withColumn("round", F.row_number().over(Window.partitionBy(page).orderBy(order)))
 
 
-def concurrency(outcomes: DataFrame, key: str, order: list[str], ok: str, window: int = 10, limit: int = 1, most: int = 3) -> DataFrame:
-    """key, step, failures, limit: after each full window more than 30 % failures halve the limit, else it grows by one."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rounds = outcomes.withColumn("step", F.floor((n - 1) / window)).groupBy(key, "step").agg(F.count("*").alias("n"), F.count_if(~F.col(ok)).alias("failures")).where(F.col("n") == window)
-    ordered = rounds.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "failures"))).alias("r"))
-    start = F.struct(F.lit(limit).cast("long").alias("now"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(x["failures"] * 10 > 3 * window, F.floor(acc["now"] / 2)).otherwise(acc["now"] + 1)
-        now = F.least(F.greatest(now, F.lit(1)), F.lit(most)).cast("long")
-        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    folded = ordered.select(key, "r", F.aggregate("r", start, step, lambda a: a["out"]).alias("l"))
-    return folded.select(key, F.explode(F.arrays_zip("r", "l")).alias("z")).select(key, F.col("z.r.step").alias("step"), F.col("z.r.failures").alias("failures"), F.col("z.l").alias("limit"))
+def concurrency(outcomes: DataFrame, key: str, order: list[str], ok: str, **how: int) -> DataFrame:
+    """key, the order's columns, `concurrency`: the limit after each outcome, by folds.concurrency()."""
+    return folds.run(outcomes.select(key, *order, F.col(ok).alias("ok")), [key], order, folds.concurrency(**how)).drop("ok")
 
 
 def rate(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:

@@ -50,7 +50,10 @@ def sheet_rows(spark, d):
     return records.sheet_row(rows, ["event_id", "event_type"], ["props"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, LENGTH(props) + 256 AS bytes, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, bytes, 0::BIGINT AS chunk, 1::BIGINT AS n, bytes::BIGINT AS total FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, bytes, CASE WHEN cut THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN bytes ELSE total + bytes END FROM (SELECT e.user_id, e.rn, e.bytes, r.chunk, r.n, r.total, r.n >= 50 OR r.total + e.bytes > 20000 AS cut FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, chunk, COUNT(*) AS rows, SUM(bytes)::BIGINT AS bytes FROM r GROUP BY ALL""")
 def push_sized(spark, d):
     """Chunks of at most 50 lines and 20,000 bytes a user."""
     rows = t(spark, d, "events").select("user_id", "event_id", (F.length("props") + 256).alias("bytes"))

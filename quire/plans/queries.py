@@ -83,7 +83,7 @@ def doc_token_estimate(spark, d):
 _FNV = lambda x: f"LIST_REDUCE(LIST_PREPEND(2166136261::HUGEINT, LIST_TRANSFORM(STRING_SPLIT({x}, ''), lambda c: ORD(c)::HUGEINT)), lambda h, c: (XOR(h, c) * 16777619) & 4294967295)"
 
 
-@query(f"WITH p AS (SELECT doc_id, LEFT(text, 120) AS p FROM documents) SELECT doc_id, LPAD(LOWER(TO_HEX(({_FNV('p')})::BIGINT)), 8, '0') || '-' || LOWER(TO_BASE(LENGTH(p), 36)) AS hash FROM p")
+@query(f"WITH p AS (SELECT doc_id, text AS p FROM documents) SELECT doc_id, LPAD(LOWER(TO_HEX(({_FNV('p')})::BIGINT)), 8, '0') || '-' || LOWER(TO_BASE(LENGTH(p), 36)) AS hash FROM p")
 def doc_hash_text(spark, d):
     """The hash and the length of the whole text."""
     return t(spark, d, "documents").select("doc_id", hashing.hash_text(F.col("text")).alias("hash"))
@@ -183,7 +183,17 @@ def conv_interleave(spark, d):
     return planning.interleaved(_lines(spark, d), "conv_id", "o").select("conv_id", "turn", F.col("round").cast("long").alias("round"))
 
 
-@query()
+_SIZED = f""", z AS (SELECT conv_id, turn, text, unit::BIGINT AS unit, {_TOKENS('text')} AS t, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM u),
+s AS (SELECT conv_id, unit, COUNT(*) AS un, SUM(t)::BIGINT AS us FROM z GROUP BY ALL),
+l AS (SELECT z.*, un, us, un > 3 OR us > 260 AS too_big FROM z JOIN s USING (conv_id, unit)),
+r AS (SELECT conv_id, 0::BIGINT AS rn, NULL::BIGINT AS turn, -1::BIGINT AS unit, 0::BIGINT AS batch, 0::BIGINT AS n, 0::BIGINT AS t, FALSE AS big FROM (SELECT DISTINCT conv_id FROM l)
+  UNION ALL SELECT conv_id, rn, turn, unit, b + cut::INT, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN t ELSE held + t END, now_big FROM (
+    SELECT l.conv_id, l.rn, l.turn, l.unit, l.t, r.batch AS b, r.n, r.t AS held, CASE WHEN l.unit <> r.unit THEN l.too_big ELSE r.big END AS now_big,
+      r.n > 0 AND CASE WHEN l.unit <> r.unit THEN l.too_big OR r.big OR r.n + l.un > 3 OR r.t + l.us > 260 ELSE r.big AND (r.n >= 3 OR r.t + l.t > 260) END AS cut
+    FROM r JOIN l ON l.conv_id = r.conv_id AND l.rn = r.rn + 1))"""
+
+
+@query(_UNITS.replace("WITH k", "WITH RECURSIVE k") + _SIZED + " SELECT conv_id, turn, unit, batch FROM r WHERE rn > 0")
 def conv_batches(spark, d):
     """Greedy packing of units by 3 lines and 260 tokens."""
     lines = planning.units(_lines(spark, d).withColumn("tokens", tx.token_estimate(F.col("text"))), "conv_id", "o", "kind")
@@ -252,14 +262,20 @@ def ev_rate_meter(spark, d):
     return planning.rate(t(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "per_window")
 
 
-@query()
+_IN_TURN = "WITH RECURSIVE e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), u AS (SELECT DISTINCT user_id FROM events)"
+
+
+@query(_IN_TURN + """, r AS (SELECT user_id, event_id, rn, ts AS opened, 1::BIGINT AS used FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.ts - r.opened >= INTERVAL 86400 SECONDS THEN e.ts ELSE r.opened END, CASE WHEN e.ts - r.opened >= INTERVAL 86400 SECONDS THEN 1 ELSE r.used + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id, opened, used FROM r""")
 def ev_buckets(spark, d):
     return planning.anchored_windows(t(spark, d, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "opened", "used")
 
 
-@query()
+@query(_IN_TURN + """, w AS (SELECT user_id, (rn - 1) // 10 AS step, COUNT(*) FILTER (WHERE event_type = 'error') AS failed FROM e GROUP BY ALL HAVING COUNT(*) = 10),
+r AS (SELECT user_id, -1::BIGINT AS step, 1::BIGINT AS lim FROM u UNION ALL SELECT w.user_id, w.step, GREATEST(1, LEAST(3, CASE WHEN failed * 10 > 30 THEN lim // 2 ELSE lim + 1 END)) FROM r JOIN w ON w.user_id = r.user_id AND w.step = r.step + 1)
+SELECT e.event_id, r.lim AS concurrency FROM e JOIN r ON r.user_id = e.user_id AND r.step = e.rn // 10 - 1""")
 def ev_aimd(spark, d):
-    return planning.concurrency(t(spark, d, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", ["ts", "event_id"], "ok")
+    return planning.concurrency(t(spark, d, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", ["ts", "event_id"], "ok").select("event_id", "concurrency")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

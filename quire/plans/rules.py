@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fragments, rules
 from quire.operators import folds, glossary, machine, responses
-from quire.plans.queries import _COLLAPSE, _COUNT, _FNV, _TRIM, _WS, query, t
+from quire.plans.queries import _COLLAPSE, _COUNT, _FNV, _IN_TURN, _TRIM, _WS, query, t
 
 _MD5 = lambda c: F.md5(F.col(c).cast("binary"))
 
@@ -124,12 +124,24 @@ def page_ranges(spark, d):
     return t(spark, d, "orders").select("o_orderkey", rules.page_list(spec, F.lit(9)).alias("p")).select("o_orderkey", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n"))
 
 
-@query()
+_NAMES = [*dict.fromkeys(e for _, e in machine.NEXT)]
+_FSM = ", ".join(f"('{a}', '{e}', '{b}')" for (a, e), b in machine.NEXT.items())
+
+
+@query(f"""{_IN_TURN}, tr(a, ev, b) AS (VALUES {_FSM}), named AS (SELECT e.*, [{", ".join(map(repr, _NAMES))}][event_id % {len(_NAMES)} + 1] AS ev, EPOCH_MS(ts) AS ms FROM e),
+r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, TRUE AS ok, NULL::VARCHAR AS from_state, 'IDLE' AS state, NULL::VARCHAR AS reason, FALSE AS ocr, 3::BIGINT AS retries, 0::BIGINT AS until, NULL::VARCHAR AS paused FROM u
+  UNION ALL SELECT user_id, rn, event_id, reason IS NULL, state, CASE WHEN reason IS NOT NULL THEN state WHEN b = '*' THEN paused ELSE b END, reason,
+    CASE WHEN reason IS NOT NULL THEN ocr WHEN ev = 'RESET' THEN FALSE WHEN ev = 'NEED_OCR' THEN TRUE WHEN ev = 'OCR_DONE' THEN FALSE ELSE ocr END, CASE WHEN reason IS NULL AND state = 'FAILED' AND ev = 'RETRY' THEN retries - 1 ELSE retries END,
+    CASE WHEN reason IS NOT NULL THEN until WHEN ev IN ('RESET', 'RESUME') THEN 0 WHEN ev = 'RATE_LIMIT' THEN ms + 30000 ELSE until END,
+    CASE WHEN reason IS NOT NULL THEN paused WHEN ev IN ('RESET', 'START', 'RESUME') OR (state = 'PAUSED' AND ev = 'CANCEL') THEN NULL WHEN ev = 'PAUSE' THEN state ELSE paused END
+  FROM (SELECT *, CASE WHEN b IS NULL THEN 'INVALID_STATE_TRANSITION' WHEN state = 'PARSING' AND ev = 'PARSE_OK' AND ocr THEN 'NO_TEXT_LAYER' WHEN state = 'WAITING_RATE_LIMIT' AND ev = 'RETRY' AND ms < until THEN 'QUOTA_EXHAUSTED'
+    WHEN state = 'FAILED' AND ev = 'RETRY' AND retries <= 0 THEN 'INVALID_STATE_TRANSITION' WHEN state = 'PAUSED' AND ev = 'RESUME' AND (paused IS NULL OR paused = 'PAUSED') THEN 'INVALID_STATE_TRANSITION' END AS reason
+    FROM (SELECT n.user_id, n.rn, n.event_id, n.ev, n.ms, r.state, r.ocr, r.retries, r.until, r.paused, tr.b FROM r JOIN named n ON n.user_id = r.user_id AND n.rn = r.rn + 1 LEFT JOIN tr ON tr.a = r.state AND tr.ev = n.ev)))
+SELECT event_id, ok, from_state, state AS to_state, reason FROM r WHERE rn > 0""")
 def ev_fsm(spark, d):
     """Events as those of a job a user: every event's verdict."""
-    names = [*dict.fromkeys(e for _, e in machine.NEXT)]
     null = lambda kind: F.lit(None).cast(kind)
-    name = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES) + 1).cast("int"))
     events = t(spark, d, "events").select("user_id", "event_id", name.alias("event"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), null("boolean").alias("has_text_layer"), null("boolean").alias("needs_ocr"), null("long").alias("retry_budget"), null("long").alias("rate_limit_until"), null("string").alias("failure_code"))
     return folds.run(events, ["user_id"], ["at_ms", "event_id"], machine.FSM).select("event_id", "ok", "from_state", "to_state", "reason")
 
@@ -138,19 +150,30 @@ def _timed(spark, d):
     return t(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value"), "event_type")
 
 
-@query()
+@query(_IN_TURN + """, r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS opened, 0::BIGINT AS n, 0::BIGINT AS spent, FALSE AS admitted, NULL::BIGINT AS free_us FROM u
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN fits THEN COALESCE(o, us) ELSE o END, CASE WHEN fits THEN n1 + 1 ELSE n1 END, CASE WHEN fits THEN s1 + wanted ELSE s1 END, fits, CASE WHEN NOT fits THEN o + 86400000000 END FROM (
+    SELECT *, n1 + 1 <= 3 AND (wanted = 0 OR s1 + wanted <= 20000) AS fits FROM (
+      SELECT user_id, rn, event_id, us, wanted, CASE WHEN past THEN NULL ELSE opened END AS o, CASE WHEN past THEN 0 ELSE n END AS n1, CASE WHEN past THEN 0 ELSE spent END AS s1
+      FROM (SELECT e.user_id, e.rn, e.event_id, EPOCH_US(e.ts) AS us, FLOOR(e.value * 100)::BIGINT AS wanted, r.opened, r.n, r.spent, r.opened IS NULL OR EPOCH_US(e.ts) - r.opened >= 86400000000 AS past FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))))
+SELECT event_id, admitted, free_us FROM r WHERE rn > 0""")
 def ev_admission(spark, d):
     rows = _timed(spark, d).withColumn("tokens", F.floor(F.col("value") * 100).cast("long"))
     return folds.run(rows, ["user_id"], ["us", "event_id"], folds.admission(3, 20_000, 86_400)).select("event_id", "admitted", "free_us")
 
 
-@query()
+@query(_IN_TURN + """, r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 1::DOUBLE AS scale, 0::BIGINT AS n FROM u
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN value > 0 THEN LEAST(4::DOUBLE, GREATEST(0.6::DOUBLE, CASE WHEN n + 1 < 5 THEN GREATEST(1::DOUBLE, moved) ELSE moved END)) ELSE scale END, CASE WHEN value > 0 THEN n + 1 ELSE n END FROM (
+    SELECT e.user_id, e.rn, e.event_id, e.value, r.scale, r.n, r.scale + 0.3::DOUBLE * (r.scale * LEAST(8::DOUBLE, GREATEST(0.25::DOUBLE, e.value / 50::DOUBLE)) - r.scale) AS moved FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT event_id, FLOOR(scale * 1000000)::BIGINT AS scale FROM r WHERE rn > 0""")
 def ev_calibration(spark, d):
     rows = _timed(spark, d).select("user_id", "event_id", "us", F.lit(50.0).alias("predicted"), F.col("value").cast("double").alias("actual"))
-    return folds.run(rows, ["user_id"], ["us", "event_id"], folds.calibration()).select("event_id", F.round("scale", 6).alias("scale"))
+    return folds.run(rows, ["user_id"], ["us", "event_id"], folds.calibration()).select("event_id", F.floor(F.col("scale") * 1_000_000).alias("scale"))
 
 
-@query()
+@query(_IN_TURN + """, r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS target, 0::BIGINT AS n, FALSE AS done, FALSE AS promoted FROM u
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN m > 0 THEN CASE WHEN n = 0 THEN event_type ELSE target END END, m, done OR m >= 3, NOT done AND m >= 3 FROM (
+    SELECT e.user_id, e.rn, e.event_id, e.event_type, r.target, r.n, r.done, CASE WHEN r.done THEN r.n WHEN r.n = 0 THEN 1 WHEN e.event_type <> r.target THEN 0 ELSE r.n + 1 END AS m FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id FROM r WHERE promoted""")
 def ev_votes(spark, d):
     """event types as targets of a term a user."""
     rows = _timed(spark, d).select("user_id", "event_id", "us", F.col("event_type").alias("target"))

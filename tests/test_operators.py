@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import registry
-from quire.functions import hashing, numbers
+from quire.functions import hashing, numbers, rules
 from quire.functions import text as tx
 from quire.operators import glossary, merge, planning
 from quire.sources import readers, sinks
@@ -38,7 +38,7 @@ def test_scalars(spark):
     assert one(spark, tx.safe_url(F.lit("javascript:alert(1)"))) is None and one(spark, tx.safe_url(F.lit("a.example/x"))) == "https://a.example/x"
     assert one(spark, tx.table_grid(F.lit("a\tb \nc"))) == [["a", "b"], ["c", ""]]
     assert [one(spark, tx.has_term(F.lit(t), F.lit(x))) for t, x in (("The cat.", "cat"), ("concat", "cat"), ("a cat cats", "CAT"), ("xфx", "ф"))] == [True, False, True, True]
-    assert one(spark, numbers.error_kind(F.lit(429), F.lit("requests per day"))) == "quota" and one(spark, numbers.error_kind(F.lit(429), F.lit("try again in 4s"))) == "rate_limit"
+    assert one(spark, rules.error_kind(F.lit(429), F.lit("requests per day"))) == "quota" and one(spark, rules.error_kind(F.lit(429), F.lit("try again in 4s"))) == "rate_limit"
     assert one(spark, tx.token_estimate(F.lit("abcd"))) == 2 and one(spark, tx.token_estimate(F.lit("မြန်မာ"))) == 7
 
 
@@ -78,7 +78,9 @@ def test_greedy_batches_against_a_loop(spark, sf):
 
 def test_concurrency_and_windows_against_loops(spark):
     outcomes = [(1, k, k % 7 != 0 and not 20 <= k < 26) for k in range(55)]
-    got = [(r.step, r.limit) for r in planning.concurrency(spark.createDataFrame(outcomes, "k int, n int, ok boolean"), "k", ["n"], "ok").orderBy("step").collect()]
+    rows = planning.concurrency(spark.createDataFrame(outcomes, "k int, n int, ok boolean"), "k", ["n"], "ok").orderBy("n").collect()
+    got = [(r.n // 10, r.concurrency) for r in rows if r.n % 10 == 9]
+    assert [r.concurrency for r in rows if r.n < 9] == [1] * 9
     limit, want = 1, []
     for step in range(5):
         bad = sum(not ok for _, n, ok in outcomes if n // 10 == step)
