@@ -14,14 +14,14 @@ SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 
 # Stop words by language, in the order that settles ties.
 STOP_WORDS = {
-    "en": "the and of to in is that for it with as on be by",
-    "fr": "le la les des une est dans pour que qui sur avec",
-    "es": "el la los las una que para con por del como más",
-    "de": "der die das und ist von mit für nicht ein eine zu",
-    "it": "il la che di per con non una sono questo",
-    "pt": "os as uma que para com não mais dos como",
-    "id": "yang dan di ke dari untuk dengan ini itu pada",
-    "nl": "de het een van en dat voor met op niet",
+    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "it", "with", "as", "on", "be", "by"),
+    "fr": ("le", "la", "les", "des", "une", "est", "dans", "pour", "que", "qui", "sur", "avec"),
+    "es": ("el", "la", "los", "las", "una", "que", "para", "con", "por", "del", "como", "más"),
+    "de": ("der", "die", "das", "und", "ist", "von", "mit", "für", "nicht", "ein", "eine", "zu"),
+    "it": ("il", "la", "che", "di", "per", "con", "non", "una", "sono", "questo"),
+    "pt": ("os", "as", "uma", "que", "para", "com", "não", "mais", "dos", "como"),
+    "id": ("yang", "dan", "di", "ke", "dari", "untuk", "dengan", "ini", "itu", "pada"),
+    "nl": ("de", "het", "een", "van", "en", "dat", "voor", "met", "op", "niet"),
 }
 # Marks that count four votes for Vietnamese.
 VIETNAMESE = "ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
@@ -43,21 +43,21 @@ SCRIPTS = {
     "latin": (r"\x{0041}-\x{024F}\x{1E00}-\x{1EFF}", None),
 }
 
-# Patterns of the secrets that are removed, in order. `<` and `>` stand for an edge of an ASCII word.
+# Patterns of the secrets that are removed, in order; edges are those of ASCII words.
 SECRETS = (
-    ("<(Bearer|Basic)[ \\t\\n\\r]+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
-    ("<sk-[A-Za-z0-9_-]{10,}>", "[REDACTED]"),
-    ("<sk-or-v1-[A-Za-z0-9]{10,}>", "[REDACTED]"),
-    ("<(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{20,}>", "[REDACTED]"),
-    ("<github_pat_[A-Za-z0-9_]{20,}>", "[REDACTED]"),
-    ("<AKIA[0-9A-Z]{16}>", "[REDACTED]"),
-    ("<AIza[0-9A-Za-z_-]{30,}>", "[REDACTED]"),
-    ("<eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}>", "[REDACTED]"),
-    ("(?i)<(key|token|secret|password|passphrase|apikey|api_key|access_token)[ \\t\\n\\r]*[=:][ \\t\\n\\r]*\"[^ \\t\\n\\r\"',&;]{6,}\"", '$1="[REDACTED]"'),
-    ("(?i)<(key|token|secret|password|passphrase|apikey|api_key|access_token)[ \\t\\n\\r]*[=:][ \\t\\n\\r]*[^ \\t\\n\\r\"',&;]{6,}", "$1=[REDACTED]"),
-    ("<v1\\.[A-Za-z0-9+/=]{20,}\\.[A-Za-z0-9+/=]{10,}>", "[REDACTED]"),
-    ("(?i)<[0-9a-f]{32,}>", "[REDACTED]"),
-    ("<[A-Za-z0-9+/]{48,}={0,2}>", "[REDACTED]"),
+    ('\\b(Bearer|Basic)[ \\t\\n\\r]+[A-Za-z0-9._~+/=-]{8,}', 'Bearer [REDACTED]'),
+    ('\\bsk-[A-Za-z0-9_-]{10,}\\b', '[REDACTED]'),
+    ('\\bsk-or-v1-[A-Za-z0-9]{10,}\\b', '[REDACTED]'),
+    ('\\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{20,}\\b', '[REDACTED]'),
+    ('\\bgithub_pat_[A-Za-z0-9_]{20,}\\b', '[REDACTED]'),
+    ('\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]'),
+    ('\\bAIza[0-9A-Za-z_-]{30,}\\b', '[REDACTED]'),
+    ('\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\b', '[REDACTED]'),
+    ('(?i)\\b(key|token|secret|password|passphrase|apikey|api_key|access_token)[ \\t\\n\\r]*[=:][ \\t\\n\\r]*"[^ \\t\\n\\r"\',&;]{6,}"', '$1="[REDACTED]"'),
+    ('(?i)\\b(key|token|secret|password|passphrase|apikey|api_key|access_token)[ \\t\\n\\r]*[=:][ \\t\\n\\r]*[^ \\t\\n\\r"\',&;]{6,}', '$1=[REDACTED]'),
+    ('\\bv1\\.[A-Za-z0-9+/=]{20,}\\.[A-Za-z0-9+/=]{10,}\\b', '[REDACTED]'),
+    ('(?i)\\b[0-9a-f]{32,}\\b', '[REDACTED]'),
+    ('\\b[A-Za-z0-9+/]{48,}={0,2}\\b', '[REDACTED]'),
 )
 
 # Tokens that a character of a script stands for; three ASCII characters make a token.
@@ -138,7 +138,7 @@ def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
     Made in steps, each a projection of its own: what several branches need is computed once a row.
     """
     column = F.col(text)
-    voters = [w.split() for w in STOP_WORDS.values()]
+    voters = [*STOP_WORDS.values()]
     words = F.slice(F.filter(F.split(blanks(F.regexp_replace(F.lower(column), r"[\p{P}\p{S}]+", " ")), " "), lambda w: w != ""), 1, 600)
     df = df.withColumn("_sample", script_sample(column))
     df = df.withColumn("_others", beyond_ascii(F.col("_sample")))
@@ -208,6 +208,13 @@ def skip_rule(text: Column, t: Column | None = None) -> Column:
 _SIGNS = (("Bearer", "Basic"), ("sk-",), ("sk-or",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("AKIA",), ("AIza",), ("eyJ",), ("=", ":"), ("=", ":"), ("v1.",))
 
 
+def _ascii_edges(pattern: str) -> str:
+    """Java's own word edges know letters beyond ASCII. All patterns begin with a letter or digit, so looking behind is enough there."""
+    word = "[A-Za-z0-9_]"
+    head, begins = pattern.removeprefix("(?i)"), "(?i)" if pattern.startswith("(?i)") else ""
+    return begins + f"(?<!{word})" + head.removeprefix(r"\b").replace(r"\b", rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def with_redacted(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the text without secrets: first a test whether there can be any, then, in another projection, the patterns in order.
 
@@ -217,7 +224,7 @@ def with_redacted(df: DataFrame, text: str, out: str) -> DataFrame:
     for k, (pattern, to) in enumerate(SECRETS):
         column = F.col(out)
         there = reduce(lambda a, b: a | b, [F.contains(column, F.lit(x)) for x in _SIGNS[k]]) if k < len(_SIGNS) else column.rlike("[A-Za-z0-9+/]{32}")
-        df = df.withColumn(out, F.when(there, F.regexp_replace(column, pattern.replace("<", r"(?<![A-Za-z0-9_])").replace(">", r"(?![A-Za-z0-9_])"), to)).otherwise(column))
+        df = df.withColumn(out, F.when(there, F.regexp_replace(column, _ascii_edges(pattern), to)).otherwise(column))
     return df
 
 

@@ -7,6 +7,7 @@ the whole batch, its halves, single lines, a line with a repair request, the lin
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from quire.functions import fragments
 
 # How sure a line is that was kept, and its flag.
 KEPT, FLAG = 0.2, "kept-original"
+#: Rungs of a single line that has failed, in order.
+SINGLE = ("repair", "parts")
 ANSWER = "array<struct<id:string,text:string,flag:string,confidence:double>>"
 
 #: Lines ({id, text}) and whether this is a repair, to {id: text} or None.
@@ -27,37 +30,51 @@ def whole(lines: list[dict], answer: dict[str, str] | None) -> bool:
     return answer is not None and answer.keys() == {x["id"] for x in lines} and all((t or "").strip() for t in answer.values())
 
 
+@dataclass
+class Request:
+    """Lines to ask for, and the rung that they are on."""
+
+    lines: list[dict]
+    rung: str
+
+    def smaller(self) -> list[Request]:
+        """What is asked instead, once this has failed: the whole's halves, a half's lines; of one line a repair, then its parts, then nothing."""
+        if self.rung in SINGLE:
+            after = SINGLE[SINGLE.index(self.rung) + 1 :]
+            return [Request(self.lines, after[0])] if after else []
+        if len(self.lines) == 1:
+            return [Request(self.lines, "repair")]
+        if self.rung == "half":
+            return [Request([x], "line") for x in self.lines]
+        middle = (len(self.lines) + 1) // 2
+        return [Request(self.lines[:middle], "half"), Request(self.lines[middle:], "half")]
+
+
 def climbed(lines: list[dict], transport: Transport) -> tuple[list[dict], int]:
-    """Every line once, in order, and the requests it took. Lines have id, text, parts (None: it can't be cut) and between."""
-    asked = 0
+    """Every line once, in order, and the requests it took. Lines have id, text, parts (None: it can't be cut) and between.
 
-    def ask(some: list[dict], repair: bool = False) -> dict[str, str] | None:
-        nonlocal asked
+    A list of requests is worked off; one that fails puts smaller ones in its place. A line without an answer at the end is kept.
+    """
+    texts: dict[str, str] = {}
+    waiting, asked = [Request(lines, "whole")] if lines else [], 0
+    while waiting:
+        request = waiting.pop(0)
+        sent = [{"id": x["id"], "text": x["text"]} for x in request.lines]
+        if request.rung == "parts":
+            (line,) = request.lines
+            sent = [{"id": f"{line['id']}#s{k}", "text": p} for k, p in enumerate(line["parts"] if line["parts"] is not None else ())]
+            if not sent:
+                continue
         asked += 1
-        answer = transport([{"id": x["id"], "text": x["text"]} for x in some], repair)
-        return answer if whole(some, answer) else None
-
-    def alone(line: dict) -> dict:
-        answer = ask([line], repair=True)
-        if answer:
-            return {"id": line["id"], "text": answer[line["id"]], "flag": None, "confidence": None}
-        parts = [{"id": f"{line['id']}#s{k}", "text": p} for k, p in enumerate(line["parts"])] if line["parts"] is not None else []
-        answer = ask(parts) if parts else None
-        if answer:
-            return {"id": line["id"], "text": line["between"].join(answer[p["id"]].strip() for p in parts), "flag": None, "confidence": None}
-        return {"id": line["id"], "text": line["text"], "flag": FLAG, "confidence": KEPT}
-
-    def rung(some: list[dict], depth: int) -> list[dict]:
-        answer = ask(some)
-        if answer:
-            return [{"id": x["id"], "text": answer[x["id"]], "flag": None, "confidence": None} for x in some]
-        if len(some) == 1:
-            return [alone(some[0])]
-        half = (len(some) + 1) // 2
-        below = (some[:half], some[half:]) if depth == 0 else [[x] for x in some]
-        return [done for part in below for done in rung(list(part), depth + 1)]
-
-    return (rung(lines, 0) if lines else []), asked
+        answer = transport(sent, request.rung == "repair")
+        if not whole(sent, answer):
+            waiting[:0] = request.smaller()
+        elif request.rung == "parts":
+            texts[line["id"]] = line["between"].join(answer[x["id"]].strip() for x in sent)
+        else:
+            texts |= answer
+    kept = lambda x: {"id": x["id"], "text": x["text"], "flag": FLAG, "confidence": KEPT}
+    return [{"id": x["id"], "text": texts[x["id"]], "flag": None, "confidence": None} if x["id"] in texts else kept(x) for x in lines], asked
 
 
 def answered(lines: DataFrame, batch: str, order: str, transport: Transport) -> DataFrame:

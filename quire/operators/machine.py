@@ -5,53 +5,53 @@ from __future__ import annotations
 from quire.operators.folds import Fold
 
 # State, event, next state. RESUME goes back to where the job was paused.
-TABLE = """
-IDLE START PREFLIGHT
-PREFLIGHT PRECHECK_OK READY
-PREFLIGHT PRECHECK_FAIL FAILED
-PREFLIGHT PAUSE PAUSED
-PREFLIGHT CANCEL CANCELLED
-READY PARSE PARSING
-READY PAUSE PAUSED
-READY CANCEL CANCELLED
-READY RESET IDLE
-PARSING NEED_OCR OCR
-PARSING PARSE_OK TRANSLATING
-PARSING PARSE_FAIL FAILED
-PARSING PAUSE PAUSED
-PARSING CANCEL CANCELLED
-OCR OCR_DONE TRANSLATING
-OCR OCR_FAIL FAILED
-OCR PAUSE PAUSED
-OCR CANCEL CANCELLED
-TRANSLATING TRANSLATE_OK REVIEWING
-TRANSLATING TRANSLATE_FAIL FAILED
-TRANSLATING RATE_LIMIT WAITING_RATE_LIMIT
-TRANSLATING PAUSE PAUSED
-TRANSLATING CANCEL CANCELLED
-WAITING_RATE_LIMIT RETRY TRANSLATING
-WAITING_RATE_LIMIT TRANSLATE_OK REVIEWING
-WAITING_RATE_LIMIT TRANSLATE_FAIL FAILED
-WAITING_RATE_LIMIT PAUSE PAUSED
-WAITING_RATE_LIMIT CANCEL CANCELLED
-REVIEWING APPROVE LAYOUTING
-REVIEWING REVISE TRANSLATING
-REVIEWING PAUSE PAUSED
-REVIEWING CANCEL CANCELLED
-LAYOUTING LAYOUT_OK EXPORT_READY
-LAYOUTING LAYOUT_FAIL FAILED
-LAYOUTING PAUSE PAUSED
-LAYOUTING CANCEL CANCELLED
-EXPORT_READY RESET IDLE
-PAUSED RESUME *
-PAUSED CANCEL CANCELLED
-PAUSED RESET IDLE
-FAILED RETRY PREFLIGHT
-FAILED CANCEL CANCELLED
-FAILED RESET IDLE
-CANCELLED RESET IDLE
-"""
-NEXT = {(a, e): b for a, e, b in map(str.split, TABLE.strip().splitlines())}
+TABLE = (
+    ("IDLE", "START", "PREFLIGHT"),
+    ("PREFLIGHT", "PRECHECK_OK", "READY"),
+    ("PREFLIGHT", "PRECHECK_FAIL", "FAILED"),
+    ("PREFLIGHT", "PAUSE", "PAUSED"),
+    ("PREFLIGHT", "CANCEL", "CANCELLED"),
+    ("READY", "PARSE", "PARSING"),
+    ("READY", "PAUSE", "PAUSED"),
+    ("READY", "CANCEL", "CANCELLED"),
+    ("READY", "RESET", "IDLE"),
+    ("PARSING", "NEED_OCR", "OCR"),
+    ("PARSING", "PARSE_OK", "TRANSLATING"),
+    ("PARSING", "PARSE_FAIL", "FAILED"),
+    ("PARSING", "PAUSE", "PAUSED"),
+    ("PARSING", "CANCEL", "CANCELLED"),
+    ("OCR", "OCR_DONE", "TRANSLATING"),
+    ("OCR", "OCR_FAIL", "FAILED"),
+    ("OCR", "PAUSE", "PAUSED"),
+    ("OCR", "CANCEL", "CANCELLED"),
+    ("TRANSLATING", "TRANSLATE_OK", "REVIEWING"),
+    ("TRANSLATING", "TRANSLATE_FAIL", "FAILED"),
+    ("TRANSLATING", "RATE_LIMIT", "WAITING_RATE_LIMIT"),
+    ("TRANSLATING", "PAUSE", "PAUSED"),
+    ("TRANSLATING", "CANCEL", "CANCELLED"),
+    ("WAITING_RATE_LIMIT", "RETRY", "TRANSLATING"),
+    ("WAITING_RATE_LIMIT", "TRANSLATE_OK", "REVIEWING"),
+    ("WAITING_RATE_LIMIT", "TRANSLATE_FAIL", "FAILED"),
+    ("WAITING_RATE_LIMIT", "PAUSE", "PAUSED"),
+    ("WAITING_RATE_LIMIT", "CANCEL", "CANCELLED"),
+    ("REVIEWING", "APPROVE", "LAYOUTING"),
+    ("REVIEWING", "REVISE", "TRANSLATING"),
+    ("REVIEWING", "PAUSE", "PAUSED"),
+    ("REVIEWING", "CANCEL", "CANCELLED"),
+    ("LAYOUTING", "LAYOUT_OK", "EXPORT_READY"),
+    ("LAYOUTING", "LAYOUT_FAIL", "FAILED"),
+    ("LAYOUTING", "PAUSE", "PAUSED"),
+    ("LAYOUTING", "CANCEL", "CANCELLED"),
+    ("EXPORT_READY", "RESET", "IDLE"),
+    ("PAUSED", "RESUME", "*"),
+    ("PAUSED", "CANCEL", "CANCELLED"),
+    ("PAUSED", "RESET", "IDLE"),
+    ("FAILED", "RETRY", "PREFLIGHT"),
+    ("FAILED", "CANCEL", "CANCELLED"),
+    ("FAILED", "RESET", "IDLE"),
+    ("CANCELLED", "RESET", "IDLE"),
+)
+NEXT = {(a, e): b for a, e, b in TABLE}
 TERMINAL = ("EXPORT_READY", "CANCELLED", "FAILED")
 
 # The reason of a failure that names none.

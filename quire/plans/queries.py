@@ -61,7 +61,7 @@ def doc_skip_histogram(spark, d):
     return lines.groupBy("lang", F.coalesce(tx.skip_rule(F.col("line"), F.col("bare")), F.lit("none")).alias("rule")).agg(F.count("*").alias("n_lines"), F.sum(tx.token_estimate(F.col("line"))).alias("n_tokens"))
 
 
-_VOTES = ", ".join(f"LEN(LIST_FILTER(ws, lambda w: LIST_CONTAINS([{', '.join(repr(w) for w in words.split())}], w)))" for words in tx.STOP_WORDS.values())
+_VOTES = ", ".join(f"LEN(LIST_FILTER(ws, lambda w: LIST_CONTAINS([{', '.join(repr(w) for w in words)}], w)))" for words in tx.STOP_WORDS.values())
 
 
 @query(f"""WITH w AS (SELECT doc_id, text, LIST_FILTER(STRING_SPLIT_REGEX(REGEXP_REPLACE(LOWER(text), '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '[{_WS}]+'), lambda x: x <> '')[1:600] AS ws,
@@ -100,7 +100,7 @@ def doc_first_occurrence(spark, d):
 def _redact_sql(x: str) -> str:
     for pattern, to in tx.SECRETS:
         flag = "'gi'" if pattern.startswith("(?i)") else "'g'"
-        p = pattern.removeprefix("(?i)").replace("<", "\\b").replace(">", "\\b").replace("'", "''")
+        p = pattern.removeprefix("(?i)").replace("'", "''")
         x = f"REGEXP_REPLACE({x}, '{p}', '{to.replace('$1', chr(92) + '1')}', {flag})"
     return x
 
