@@ -133,13 +133,15 @@ def script_shares(sample: Column, others: Column) -> dict[str, Column]:
 
 
 def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
-    """Adds struct<lang, confidence>: scripts first, then votes of stop words among the first 600 words.
+    """Adds struct<lang, confidence, script>: scripts first, then votes of stop words among the first 600 words.
 
-    Made in steps, each a projection of its own: what several branches need is computed once a row.
+    Made in steps, each a projection of its own: what several branches need is computed once a row. The text is cut no further than
+    its 600 words.
     """
     column = F.col(text)
     voters = [*STOP_WORDS.values()]
-    words = F.slice(F.filter(F.split(blanks(F.regexp_replace(F.lower(column), r"[\p{P}\p{S}]+", " ")), " "), lambda w: w != ""), 1, 600)
+    # 602 pieces: an empty one before the first word, 600 words, and the rest, which is not looked at
+    words = F.slice(F.filter(F.slice(F.split(F.lower(column), rf"[\p{{P}}\p{{S}}{SPACE}]+", 602), 1, 601), lambda w: w != ""), 1, 600)
     df = df.withColumn("_sample", script_sample(column))
     df = df.withColumn("_others", beyond_ascii(F.col("_sample")))
     share = script_shares(F.col("_sample"), F.col("_others"))
@@ -150,7 +152,7 @@ def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
     df = df.withColumn("_votes", F.array(*[F.struct(v.cast("int").alias("votes"), F.lit(-k).alias("place"), F.lit(name).alias("lang")) for k, (name, v) in enumerate(zip([*STOP_WORDS, "vi"], [*map(among, voters), marks], strict=True))]))
     df = df.withColumn("_best", F.array_max("_votes")).withColumn("_all", F.aggregate("_votes", F.lit(0), lambda n, v: n + v["votes"]))
     of = lambda name: F.col(f"_share.{name}")
-    df = df.withColumn("_top", F.array_max(F.array(*[F.struct(of(s).alias("share"), F.lit(-k).alias("place"), F.lit(lang).cast("string").alias("lang")) for k, (s, (_, lang)) in enumerate(SCRIPTS.items())])))
+    df = df.withColumn("_top", F.array_max(F.array(*[F.struct(of(s).alias("share"), F.lit(-k).alias("place"), F.lit(lang).cast("string").alias("lang"), F.lit(s).alias("script")) for k, (s, (_, lang)) in enumerate(SCRIPTS.items())])))
     pair = lambda lang, c: F.struct((F.lit(lang) if lang is None or isinstance(lang, str) else lang).cast("string").alias("lang"), c.cast("double").alias("confidence"))
     found = (
         F.when(trim_all(column) == "", pair(None, F.lit(0.0)))
@@ -164,7 +166,7 @@ def with_language(df: DataFrame, text: str, out: str = "detected") -> DataFrame:
     )
     df = df.withColumn("_found", found)
     confidence = F.when(F.col("_found.lang").isNotNull(), F.greatest(F.col("_found.confidence"), F.lit(0.15))).otherwise(F.col("_found.confidence"))
-    return df.withColumn(out, F.struct(F.col("_found.lang").alias("lang"), confidence.alias("confidence"))).drop("_sample", "_others", "_share", "_hits", "_votes", "_best", "_all", "_top", "_found")
+    return df.withColumn(out, F.struct(F.col("_found.lang").alias("lang"), confidence.alias("confidence"), F.when(of("kana") > 0.02, "kana").otherwise(F.col("_top.script")).alias("script"))).drop("_sample", "_others", "_share", "_hits", "_votes", "_best", "_all", "_top", "_found")
 
 
 # Patterns of the skip rules, in RE2's and Java's common syntax.

@@ -9,6 +9,10 @@ from quire.functions import fragments
 from quire.functions.text import has_term, trim_all
 
 
+#: Terms that are broadcast to all texts, once they have been counted.
+FEW = 10_000
+
+
 def words_of(text: Column) -> Column:
     """Distinct lower-case runs of letters, digits and underscores (and the empty word at an edge)."""
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
@@ -18,8 +22,8 @@ def uses(blocks: DataFrame, terms: DataFrame, block_key: str, text: str, term: s
     """(block_key, term) for every term that a block's text holds.
 
     A term whose first word stands as a word can only be in texts that have the word: the pairs come from an equi-join on it, and
-    the exact test runs on those alone, never on all pairs. Terms that begin inside a word (any beyond ASCII) have no such
-    word; they are few and meet all texts in one broadcast.
+    the exact test runs on those alone, never on all pairs. Terms that may begin inside a word (any beyond ASCII) have no such
+    word: if counting shows that they are few, they meet all texts in one broadcast, else by their first two characters.
     """
     low = F.lower(term)
     plain = low.rlike(r"^[\x{0000}-\x{007F}]*$") & low.rlike(r"[\p{L}\p{N}_]")
@@ -28,11 +32,20 @@ def uses(blocks: DataFrame, terms: DataFrame, block_key: str, text: str, term: s
     # the pairs are keys alone; a text is joined once to those that are left
     near = texts.select(block_key, F.explode(words_of(F.col("_t"))).alias("_w")).join(keyed.where("_plain"), "_w").select(block_key, term)
     near = near.join(texts, block_key).where(has_term(F.col("_t"), F.col(term))).select(block_key, term)
-    rest = keyed.where("not _plain").where(trim_all(F.col(term)) != "")
-    far = texts.join(F.broadcast(rest), has_term(F.col("_t"), F.col(term))).select(block_key, term)
+    rest = keyed.where("not _plain").where(trim_all(F.col(term)) != "").select(term)
+    if rest.count() <= FEW:
+        far = texts.join(F.broadcast(rest), has_term(F.col("_t"), F.col(term))).select(block_key, term)
+        return near.union(far)
+    begun = texts.select(block_key, F.explode(begins(F.lower("_t"))).alias("_b")).join(rest.withColumn("_b", F.left(F.lower(term), F.lit(2))), "_b").select(block_key, term)
+    far = begun.join(texts, block_key).where(has_term(F.col("_t"), F.col(term))).select(block_key, term)
     return near.union(far)
 
 
+def begins(text: Column) -> Column:
+    """The distinct single characters and pairs of characters in a text."""
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.array(F.substr(text, k, F.lit(1)), F.substr(text, k, F.lit(2)))))))
+
+
 def violations(blocks: DataFrame, terms: DataFrame, block_key: str, source: str, target: str) -> DataFrame:
     """block_key, source_term, target_term, kind for every term used in the source and not honoured in the target."""
     used = uses(blocks, terms.withColumnRenamed("source_term", "_term"), block_key, source, "_term").withColumnRenamed("_term", "source_term")
@@ -61,9 +74,10 @@ def enforce(source: Column, target: Column, terms: list[tuple[str, str]]) -> Col
 
 
 def look_up(batch: DataFrame, cache: DataFrame, memory: DataFrame, key: str) -> DataFrame:
-    """batch with `found` and `tier`: the cache's value, else the memory's; blank values don't count."""
+    """batch with `found` and `tier`: the cache's value, else the memory's; blank values don't count, of several the greatest does."""
     filled = lambda c: F.when(trim_all(F.col(c)) != "", F.col(c))
-    out = batch.join(cache.select(key, F.col("value").alias("_c")), key, "left").join(memory.select(key, F.col("value").alias("_m")), key, "left")
+    known = lambda df, name: df.groupBy(key).agg(F.max(filled("value")).alias(name))
+    out = batch.join(known(cache, "_c"), key, "left").join(known(memory, "_m"), key, "left")
     tier = F.when(filled("_c").isNotNull(), "cache").when(filled("_m").isNotNull(), "memory").otherwise("miss")
     return out.withColumn("found", F.coalesce(filled("_c"), filled("_m"))).withColumn("tier", tier).drop("_c", "_m")
 

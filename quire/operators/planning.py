@@ -68,10 +68,18 @@ def concurrency(outcomes: DataFrame, key: str, order: list[str], ok: str, **how:
 
 
 def rate(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
-    """Adds `per_window`: events of the key in the seconds up to each, the lower bound included."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_us", micros).withColumn("per_window", F.count("*").over(w)).drop("_us")
+    """Adds `per_window`: events of the key in the seconds up to each, the lower bound included.
+
+    Time is cut into stretches of that length and each event also stands, as one that is only counted, in the stretch after its
+    own: a stretch is a partition, so a key's events need not meet in one task.
+    """
+    span = seconds * 1_000_000
+    timed = events.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    own = F.floor(F.col("_us") / span)
+    copies = F.array(F.struct(own.alias("stretch"), F.lit(True).alias("real")), F.struct((own + 1).alias("stretch"), F.lit(False).alias("real")))
+    w = Window.partitionBy(key, "_at.stretch").orderBy("_us").rangeBetween(-span, 0)
+    counted = timed.withColumn("_at", F.explode(copies)).withColumn("per_window", F.count("*").over(w))
+    return counted.where("_at.real").drop("_us", "_at")
 
 
 def anchored_windows(events: DataFrame, key: str, at: str, tie: str, seconds: int = 60) -> DataFrame:

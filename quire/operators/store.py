@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,22 @@ def daily(df: DataFrame, at: str, last: str, days: int, **sums: Column) -> DataF
     return zero_filled(found, spine, "day", *sums)
 
 
-def evicted(df: DataFrame, keys: list[str], size: str, at: str, tie: str, budget: Column) -> DataFrame:
-    """Rows to drop, least recently used first, until each key's bytes fit its budget.
+def evicted(df: DataFrame, keys: list[str], size: str, at: str, tie: str, budget: Column, period: str = "hour") -> DataFrame:
+    """Rows to drop, least recently used first, until each key's bytes fit its budget. `budget` depends on the keys alone.
 
-    Running sums in a window over a key; a key's rows are one cache's entries.
+    Bytes are summed by key and period of time; running sums over the periods tell which go whole and in which one the budget is
+    reached. Only that period's rows are put in order, so a key with most of the table is no one task's work.
     """
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum(size).over(w.orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_left", F.sum(size).over(w) - before).where(F.col("_left") > budget).drop("_left")
+    period_of = F.date_trunc(period, F.col(at).cast("timestamp"))
+    sums = df.groupBy(*keys, period_of.alias("_period")).agg(F.sum(size).alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_period")
+    sums = sums.withColumn("_from", F.sum("_s").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))).withColumn("_behind", F.col("_from") - F.col("_s"))
+    touched = sums.where(F.col("_from") > budget).select(*[F.col(k).alias(f"_{k}") for k in keys], "_period", "_from", (F.col("_behind") > budget).alias("_whole"))
+    rows = df.withColumn("_own", period_of)
+    met = rows.join(touched, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_own").eqNullSafe(F.col("_period"))]))
+    inside = Window.partitionBy(*keys, "_own").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    last = met.where("not _whole").withColumn("_left", F.col("_from") - F.coalesce(F.sum(size).over(inside), F.lit(0))).where(F.col("_left") > budget)
+    return met.where("_whole").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def expired(expires: Column, now: Column) -> Column:

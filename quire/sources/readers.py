@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the session has cores, dealt over the cores; any other as it is.
+
+    Work on texts costs far more than moving them, and a file of one row group is one task's. At scale splits are many, so
+    nothing is shuffled. Columns are pruned below the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def glossary(spark: SparkSession, path: str) -> DataFrame:
     """source_term, target_term, notes, case_sensitive, bad (one of both terms missing) of a CSV or TSV file.
 
