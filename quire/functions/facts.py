@@ -168,3 +168,13 @@ def bounded(stack: Column, most: int = 100) -> Column:
 def inverted(before: Column, after: Column) -> Column:
     """A command that undoes one: its two states change places."""
     return F.struct(after.alias("before"), before.alias("after"))
+
+
+def rule_answer(question: Column, sync_code: Column, reason_code: Column, words: dict[str, tuple[str, ...]], sync: tuple[str, ...], reasons: tuple[str, ...]) -> Column:
+    """Which rule answers offline: the first whose words the question has, else the known sync code, else the known reason code, else
+    the first sync code that the question names, else fallback. Letter case doesn't count; an empty or null question has no words."""
+    asked = F.lower(F.trim(F.coalesce(question, F.lit(""))))
+    named = [F.when(F.contains(asked, F.lit(code.lower())), F.lit(code)) for code in sync]
+    by_word = [F.when(F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(asked, F.lower(w))), F.lit(rule)) for rule, some in words.items()]
+    known = [F.when(code.isin(*codes), code) for code, codes in ((sync_code, sync), (reason_code, reasons)) if codes]
+    return F.coalesce(*by_word, *known, *named, F.lit("fallback"))

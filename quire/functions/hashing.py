@@ -1,5 +1,7 @@
 """Stable hashes as columns: FNV-1a over the code points of BMP text."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,28 @@ def hash_text(text: Column) -> Column:
 def id_set_checksum(ids: Column) -> Column:
     """A fingerprint of a set of ids that their order doesn't change."""
     return hex8(fnv1a(F.array_join(F.array_sort(ids), "|")))
+
+
+#: Bytes of a file's head, middle and tail that its checksum reads.
+SAMPLE = 256 * 1024
+
+
+def sampled_bytes(content: bytes, window: int = SAMPLE) -> str:
+    """FNV-1a over the size (eight bytes, big end first) and three windows of the content, then the size in base 36."""
+    size = len(content)
+    middle, tail = max(0, size // 2 - window // 2), max(0, size - window)
+    h = BASIS
+    for part in (size.to_bytes(8, "big"), content[:window], content[middle : middle + window], content[tail:]):
+        for byte in part:
+            h = (h ^ byte) * PRIME & 0xFFFFFFFF
+    return f"{h:08x}-{np.base_repr(size, 36).lower()}"
+
+
+def file_checksum(content: Column) -> Column:
+    """A file's checksum by its size, head, middle and tail (the windows are the feature); null for a null file."""
+
+    @F.pandas_udf("string")
+    def checksums(files: pd.Series) -> pd.Series:
+        return files.map(lambda c: None if c is None else sampled_bytes(c))
+
+    return checksums(content)

@@ -160,3 +160,29 @@ def best_attempts(attempts: DataFrame, key: str, position: str, value: str) -> D
     """The most confident attempt of each key, the earliest of those as good."""
     names = [c for c in attempts.columns if c != key]
     return attempts.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(F.col(value), -F.col(position))).alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in names])
+
+
+def language_sample(pages: DataFrame, doc: str, order: str, text: str = "text", a_page: int = 400, most: int = 40_000) -> DataFrame:
+    """(doc, sample): the first characters of each page in order, a blank before each, as long as those before are fewer than `most`.
+
+    A sample is short by its definition; pages are cut before they are gathered. A null text is an empty page.
+    """
+    cut = pages.select(doc, order, F.concat(F.lit(" "), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(a_page))).alias("_head"))
+    before = F.coalesce(F.sum(F.length("_head")).over(Window.partitionBy(doc).orderBy(order, "_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = cut.withColumn("_before", before).where(F.col("_before") < most)
+    heads = F.array_sort(F.collect_list(F.struct(order, "_before", "_head")))
+    return taken.groupBy(doc).agg(heads.alias("_hs")).select(doc, F.array_join(F.transform("_hs", lambda h: h["_head"]), "").alias("sample"))
+
+
+def answered_again(blocks: DataFrame, answers: DataFrame, key: str, apply: bool, model: str, now: Column) -> DataFrame:
+    """The rows of the blocks that new answers (key, text) change: put in place as edited, which ends any suggestion, or kept as one.
+
+    An answer that says what is there already changes nothing; of several for a block the greatest counts, a null one does not.
+    """
+    fresh = answers.where(F.col("text").isNotNull()).groupBy(key).agg(F.max("text").alias("_new"))
+    joined = blocks.join(fresh, key).where(~F.col("translated_text" if apply else "suggested_text").eqNullSafe(F.col("_new")))
+    if apply:
+        patch = {"translated_text": F.col("_new"), "status": F.lit("edited"), "suggested_text": F.lit(None).cast("string"), "suggested_model": F.lit(None).cast("string"), "suggested_at": F.lit(None).cast("long")}
+    else:
+        patch = {"suggested_text": F.col("_new"), "suggested_model": F.lit(model), "suggested_at": now.cast("long")}
+    return joined.withColumns(patch).drop("_new")

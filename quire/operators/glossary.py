@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import fragments
+from quire.functions import fragments, rules
 from quire.functions.text import has_term, trim_all
 
 
@@ -99,3 +99,22 @@ def annotated_first(lines: DataFrame, scope: str, line_key: str, order: list[str
     grouped = made.union(rest).groupBy(line_key).agg(F.sort_array(F.collect_list(F.struct("_at", "_gap", "_out", "_kept", "_removed"))).alias("ps"))
     some = lambda name: F.filter(F.transform("ps", lambda p: p[name]), lambda x: x.isNotNull())
     return grouped.select(line_key, F.array_join(F.transform("ps", lambda p: F.concat(p["_gap"], p["_out"])), "").alias("text"), some("_kept").alias("kept"), some("_removed").alias("removed"))
+
+
+def repeated(terms: DataFrame, order: list[str], source: str = "source_term", target: str = "target_term", cased: str = "case_sensitive") -> DataFrame:
+    """The rows that repeat an earlier one in `order`, which must settle ties: the same case flag, target, and source but for letter case."""
+    flat = lambda c: trim_all(F.coalesce(F.col(c), F.lit("")))
+    alike = Window.partitionBy(F.coalesce(F.col(cased), F.lit(False)), F.lower(flat(source)), flat(target))
+    return terms.withColumn("_nth_alike", F.row_number().over(alike.orderBy(*order))).where("_nth_alike > 1").drop("_nth_alike")
+
+
+def postprocessed(lines: DataFrame, terms: list[tuple[str, str]], scope: str, line_key: str, order: list[str], source: str = "source", target: str = "target") -> DataFrame:
+    """line_key, text, fixes, misses, kept_original: a source in place of an unusable answer, then the terms, then annotations by scope.
+
+    A null source or answer counts as empty; `line_key` must be unique.
+    """
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    usable = lines.select(line_key, scope, *order, whole(source).alias("_source"), rules.kept_original(whole(source), whole(target)).alias("_u"))
+    forced = usable.withColumn("_e", enforce(F.col("_source"), F.col("_u.text"), terms)).withColumn("_text", F.col("_e.text"))
+    told = annotated_first(forced, scope, line_key, order, "_text", "_source").select(line_key, "text")
+    return forced.select(line_key, F.col("_e.fixes").alias("fixes"), F.col("_e.misses").alias("misses"), F.col("_u.replaced").alias("kept_original")).join(told, line_key)

@@ -43,3 +43,16 @@ def picked(keys: DataFrame, provider: str, key: str, now: Column, tokens: Column
     waits = F.col("_wait").isNotNull()
     name = F.when(waits, F.element_at(F.array(*map(F.lit, NAMES)), F.col("_wait.w") + 1))
     return out.select(provider, key, F.when(waits, F.col("_wait.until")).alias("until"), name.alias("waits_for"))
+
+
+def health(keys: DataFrame, provider: str, status: str = "status", enabled: str = "enabled", order: str = "id") -> DataFrame:
+    """provider, total, usable, status: a provider's keys that are switched on (null counts as on).
+
+    The status is that of the last key that rests or has spent its quota, else invalid, valid or unknown, whichever comes first and
+    some key has. A provider whose keys are all off has none and is unknown.
+    """
+    on = F.coalesce(F.col(enabled), F.lit(True))
+    resting = on & F.col(status).isin("quota", "cooling")
+    has = lambda s: F.coalesce(F.bool_or(on & (F.col(status) == s)), F.lit(False))
+    worst = F.coalesce(F.max_by(F.col(status), F.when(resting, F.col(order))), F.when(has("invalid"), "invalid").when(has("valid"), "valid").otherwise("unknown"))
+    return keys.groupBy(provider).agg(F.count_if(on).alias("total"), F.count_if(on & F.col(status).isin("valid", "unknown")).alias("usable"), worst.alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import hashing, numbers
 from quire.functions import text as tx
-from quire.operators import geometry, glossary, merge, planning, store
+from quire.operators import geometry, glossary, keys, merge, planning, store
 from quire.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,10 +386,14 @@ def outbox_coalesced(spark, d):
     return merge.coalesced(pending, ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT user_id, COUNT(*) AS keys, COUNT(*) FILTER (WHERE event_type = 'error') AS failing, COALESCE(ARG_MAX(event_type, event_id) FILTER (WHERE event_type IN ('error', 'signup')), CASE WHEN BOOL_OR(event_type = 'click') THEN 'invalid' ELSE 'valid' END) AS status FROM events GROUP BY user_id")
+@query("""WITH k AS (SELECT user_id, event_id, event_id % 6 <> 0 AS enabled, CASE event_type WHEN 'error' THEN 'cooling' WHEN 'signup' THEN 'quota' WHEN 'click' THEN 'invalid' WHEN 'purchase' THEN 'valid' ELSE 'unknown' END AS status FROM events)
+SELECT user_id, COUNT(*) FILTER (WHERE enabled) AS total, COUNT(*) FILTER (WHERE enabled AND status IN ('valid', 'unknown')) AS usable,
+  COALESCE(ARG_MAX(status, event_id) FILTER (WHERE enabled AND status IN ('quota', 'cooling')), CASE WHEN BOOL_OR(enabled AND status = 'invalid') THEN 'invalid' WHEN BOOL_OR(enabled AND status = 'valid') THEN 'valid' ELSE 'unknown' END) AS status FROM k GROUP BY user_id""")
 def key_health(spark, d):
-    bad = F.max_by(F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")), F.when(F.col("event_type").isin("error", "signup"), F.col("event_id")))
-    return t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("keys"), F.count_if(F.col("event_type") == "error").alias("failing"), F.coalesce(bad, F.when(F.bool_or(F.col("event_type") == "click"), "invalid").otherwise("valid")).alias("status"))
+    e = F.col("event_type")
+    status = F.when(e == "error", "cooling").when(e == "signup", "quota").when(e == "click", "invalid").when(e == "purchase", "valid").otherwise("unknown")
+    rows = t(spark, d, "events").select("user_id", F.col("event_id").alias("id"), (F.col("event_id") % 6 != 0).alias("enabled"), status.alias("status"))
+    return keys.health(rows, "user_id")
 
 
 @query("""WITH r AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), i AS (SELECT *, l_orderkey - ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS run FROM r), c AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY l_suppkey, run ORDER BY l_orderkey) - 1) // 2 AS chunk FROM i)

@@ -194,9 +194,10 @@ def conv_answers(spark, d):
     return responses.judged(_answers(spark, d), "answer", "wanted").select("conv_id", "reason")
 
 
-@query("""WITH l AS (SELECT doc_id, source, split_part(text, ' ', 1) AS w FROM documents WHERE REGEXP_MATCHES(text, '^[a-zA-Z]{3,20} '))
-SELECT doc_id, 'Wort' || CASE WHEN ROW_NUMBER() OVER (PARTITION BY source, LOWER(w) ORDER BY doc_id) = 1 THEN '(' || w || ')' ELSE '' END || ' x' AS text FROM l""")
+@query("""WITH l AS (SELECT doc_id, source, REGEXP_EXTRACT(COALESCE(text, ''), '[a-zA-Z]{3,20}') AS w FROM documents), n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, LOWER(w) ORDER BY doc_id) AS nth FROM l)
+SELECT doc_id, 'Wort' || CASE WHEN w <> '' AND nth = 1 THEN '(' || w || ')' ELSE '' END || ' x' AS text FROM n""")
 def term_first(spark, d):
-    docs = t(spark, d, "documents").where(F.col("text").rlike("^[a-zA-Z]{3,20} ")).select("doc_id", "source", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
-    lines = docs.withColumn("target", F.concat(F.lit("Wort（"), "w", F.lit("） x")))
-    return glossary.annotated_first(lines, "source", "doc_id", ["doc_id"], "target", "w").select("doc_id", "text")
+    """A line for every document, with its text's first term in brackets; a text without one has no annotation."""
+    docs = t(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", F.regexp_extract("text", "[a-zA-Z]{3,20}", 0))
+    lines = docs.withColumn("target", F.when(F.col("w") == "", "Wort x").otherwise(F.concat(F.lit("Wort（"), "w", F.lit("） x"))))
+    return glossary.annotated_first(lines, "source", "doc_id", ["doc_id"], "target", "text").select("doc_id", "text")

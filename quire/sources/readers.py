@@ -109,3 +109,24 @@ def document_errors(files: DataFrame, text: str, schema: str) -> DataFrame:
         .when(F.exists(pages, lambda p: ~(number(p, "$.index") & number(p, "$.width") & number(p, "$.height"))), "page")
     )
     return files.withColumn("error", error)
+
+
+def key_bundle_errors(files: DataFrame, text: str, name: str, version: int = 1, least_secret: int = 8) -> DataFrame:
+    """The files' rows with `error` and `at`: null if a file is a whole bundle of keys of format `name`, else the first broken rule.
+
+    json, format, version, newer, keys (no list), then of the first bad key, whose place from 1 is `at`, object, provider or secret.
+    Nothing of a file's content is shown, as it holds secrets.
+    """
+    v = F.try_parse_json(F.col(text))
+    string = lambda x, path: F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
+    filled = lambda x, path, least: F.coalesce(F.length(F.trim(string(x, path))) >= least, F.lit(False))
+    number = F.when(F.schema_of_variant(F.try_variant_get(v, "$.schemaVersion", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"), F.try_variant_get(v, "$.schemaVersion", "double"))
+    kind = lambda k: F.coalesce(F.schema_of_variant(k), F.lit("VOID"))
+    fault = lambda k: F.when(~kind(k).startswith("OBJECT"), "object").when(~filled(k, "$.provider", 1), "provider").when(~filled(k, "$.secret", least_secret), "secret")
+    faults = F.transform(F.try_variant_get(v, "$.keys", "array<variant>"), fault)
+    first = F.array_position(F.transform(faults, lambda f: f.isNotNull()), True)
+    head = (
+        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "json").when(~string(v, "$.format").eqNullSafe(F.lit(name)), "format")
+        .when(F.coalesce(number, F.lit(0.0)) < 1, "version").when(number > version, "newer").when(faults.isNull(), "keys")
+    )
+    return files.withColumn("error", F.coalesce(head, F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0)))).withColumn("at", F.when(head.isNull() & (first > 0), first))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import escape_html, quote_field
+from quire.functions.text import escape_html, quote_field, trim_all
 
 
 def _joined(rows: DataFrame, doc: str, order: str, piece: Column, between: str) -> DataFrame:
@@ -54,3 +56,57 @@ def json_documents(rows: DataFrame, doc: str, order: str, columns: list[str]) ->
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", delimiter).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').csv(path)
+
+
+def plain_pages(rows: DataFrame, doc: str, page: str, order: str, header: str = "", between: str = "\f", originals: bool = False, source: str = "source", primary: str = "primary") -> DataFrame:
+    """(doc, content): a line a block that has text, pages joined by `between`, `{page}` in the header is the page's number from 1.
+
+    With `originals` a source that differs stands above its line. A page without text is left out, a document without any has no row.
+    """
+    text, original = F.coalesce(F.col(primary), F.lit("")), F.coalesce(F.col(source), F.lit(""))
+    line = F.when(F.lit(originals) & (trim_all(original) != "") & (original != text), F.concat(original, F.lit("\n"), text)).otherwise(text)
+    told = rows.where(trim_all(text) != "").groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("p")))).alias("_ps"))
+    body = F.array_join(F.transform("_ps", lambda p: p["p"]), "\n")
+    head = F.replace(F.lit(header + "\n"), F.lit("{page}"), (F.col(page) + 1).cast("string"))
+    sections = told.select(doc, page, (F.concat(head, body) if header else body).alias("_section"))
+    return _joined(sections, doc, page, F.col("_section"), between).withColumn("content", F.concat("content", F.lit("\n")))
+
+
+def project_files(projects: DataFrame, parts: dict[str, DataFrame], name: str, now: Column, key: str = "projectId", version: int = 1) -> DataFrame:
+    """(id, content): a project and its rows of each part, in the order of their columns, as one JSON, so a project must fit a row.
+
+    `projects` has an `id`; a part without rows of a project is an empty list.
+    """
+    out = projects.select("id", F.struct(*projects.columns).alias("_project"))
+    for part, rows in parts.items():
+        out = out.join(rows.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(f"_{part}")), "id", "left")
+    lists = {part: F.coalesce(F.col(f"_{part}"), F.array().cast(out.schema[f"_{part}"].dataType)) for part in parts}
+    counts = F.struct(*[F.size(rows).alias(part) for part, rows in lists.items()])
+    whole = F.struct(F.lit(name).alias("format"), F.lit(version).alias("schemaVersion"), now.alias("exportedAt"), counts.alias("counts"), F.col("_project").alias("project"), *[rows.alias(part) for part, rows in lists.items()])
+    return out.select("id", F.to_json(whole).alias("content"))
+
+
+def log_file(events: DataFrame, kept: Column, at: str, tie: str, name: str, now: Column, most: int = 1000) -> DataFrame:
+    """One row, `content`: the newest events that are kept, at most `most` (the export's own limit), as one JSON."""
+    newest = events.where(kept).orderBy(F.desc(at), F.desc(tie)).limit(most)
+    rows = newest.agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("a"), F.col(tie).alias("t"), F.struct(*events.columns).alias("e"))), asc=False).alias("_es"))
+    whole = F.struct(F.lit(name).alias("format"), now.alias("exportedAt"), F.size("_es").alias("count"), F.transform("_es", lambda e: e["e"]).alias("events"))
+    return rows.select(F.to_json(whole).alias("content"))
+
+
+#: Writers by format: (rows, doc, order) to (doc, content). Others may be added by their name.
+FORMATS: dict[str, Callable[..., DataFrame]] = {
+    "csv": delimited,
+    "tsv": lambda rows, doc, order, **options: delimited(rows, doc, order, delimiter="\t", **options),
+    "txt": plain_text,
+    "md": markdown,
+    "html": html,
+    "json": json_documents,
+}
+
+
+def exported(form: str, rows: DataFrame, doc: str, order: str, **options: object) -> DataFrame:
+    """(doc, content, name): the documents in a format, with a file name each; an unknown format is an error before anything is read."""
+    if form not in FORMATS:
+        raise ValueError(f"{form} isn't one of {sorted(FORMATS)}")
+    return FORMATS[form](rows, doc, order, **options).withColumn("name", F.concat(F.col(doc).cast("string"), F.lit(f".{form}")))
