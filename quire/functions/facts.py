@@ -178,3 +178,8 @@ def rule_answer(question: Column, sync_code: Column, reason_code: Column, words:
     by_word = [F.when(F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(asked, F.lower(w))), F.lit(rule)) for rule, some in words.items()]
     known = [F.when(code.isin(*codes), code) for code, codes in ((sync_code, sync), (reason_code, reasons)) if codes]
     return F.coalesce(*by_word, *known, *named, F.lit("fallback"))
+
+
+def skip_rule_for(rule: Column, already: Column) -> Column:
+    """A line's skip rule with the last one added, alreadyTarget: no other applies, and the line reads as the language wanted."""
+    return F.coalesce(rule, F.when(already, "alreadyTarget"))

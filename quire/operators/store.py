@@ -69,6 +69,34 @@ def without(df: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def cascaded(tables: dict[str, tuple[DataFrame, str, str]], gone: DataFrame, key: str, within: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """What is left of each table, {name: (rows, its key, its parent's key)}, once the parents in `gone` (key) are removed.
+
+    `within` names the table whose rows are a table's parents, which must come first; others hang on `gone` itself. Nothing is
+    collected: a removed row's children are found by a join on its key. Rows without a parent stay.
+    """
+    removed, left = {}, {}
+    for name, (rows, own, parent) in tables.items():
+        above = removed[within[name]] if within and name in within else gone.select(F.col(key).alias("_gone")).distinct()
+        removed[name] = rows.join(above, rows[parent] == above["_gone"], "left_semi").select(F.col(own).alias("_gone")).distinct()
+        left[name] = rows.join(above, rows[parent] == above["_gone"], "left_anti")
+    return left
+
+
+def listed(df: DataFrame, by: str, n: int, tie: str, name: str = "name", progress: str = "progress", at: str = "updated_at") -> DataFrame:
+    """The first n rows by `recent`, `progress` (then recent) or `name` (in a reader's order, not by code points): a top-k."""
+    orders = {"recent": [F.desc(at)], "progress": [F.desc(progress), F.desc(at)], "name": [F.collate(F.col(name), "UNICODE").asc()]}
+    if by not in orders:
+        raise ValueError(f"{by} isn't one of {sorted(orders)}")
+    return df.orderBy(*orders[by], tie).limit(n)
+
+
+def split(batch: DataFrame, known: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """A batch's hits and misses: rows whose keys are known, and all others; null keys are never known."""
+    some = known.select(*keys).distinct()
+    return batch.join(some, list(keys), "left_semi"), batch.join(some, list(keys), "left_anti")
+
+
 def first_of(df: DataFrame, keys: list[Column], *order: Column) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

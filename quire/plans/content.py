@@ -276,3 +276,11 @@ def block_inverted(spark, d):
     return made.select("l_orderkey", "l_linenumber", "c.before", "c.after")
 
 
+
+
+@query()
+def doc_skip_already(spark, d):
+    """Documents as lines that are wanted in English; whole texts, of which detection reads its own first words and characters."""
+    found = tx.with_language(t(spark, d, "documents").select("doc_id", "text"), "text")
+    already = facts.reads_as(F.col("detected.lang"), F.col("detected.script"), F.lit("en"))
+    return found.select("doc_id", facts.skip_rule_for(tx.skip_rule(F.col("text")), already).alias("rule"))

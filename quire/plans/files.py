@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import facts, hashing
-from quire.operators import content, cooldowns, folds, glossary
+from quire.operators import content, cooldowns, folds, glossary, store
 from quire.plans.queries import _WS, query, t
 from quire.sources import readers, sinks
 
@@ -144,3 +144,43 @@ def ev_key_bundles(spark, d):
     ]
     files = t(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 8 + 1).cast("int")).alias("body"))
     return readers.key_bundle_errors(files, "body", "keys").select("event_id", "error", "at")
+
+
+@query("""WITH r AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderkey % 3 = 0 AS tb, o_orderkey % 2 = 0 AS goes FROM orders), l AS (SELECT *, ROW_NUMBER() OVER w AS n, goes AND tb AND COALESCE(LAG(tb) OVER w, FALSE) AS joined FROM r WINDOW w AS (PARTITION BY doc ORDER BY k)),
+h AS (SELECT *, CASE WHEN tb THEN 2 + k % 2 ELSE 1 END AS wide, LAST_VALUE(CASE WHEN NOT joined THEN CASE WHEN tb THEN 2 + k % 2 ELSE 1 END END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY k) AS head FROM l),
+p AS (SELECT *, CASE WHEN n = 1 THEN '' WHEN joined THEN CHR(10) ELSE CHR(10) || CHR(10) END || CASE WHEN NOT tb THEN 'p' || k WHEN joined THEN '| a\\|b | k' || k || CASE WHEN k % 2 = 1 THEN ' | c' ELSE '' END || REPEAT(' | ', GREATEST(0, head - wide)::INT) || ' |'
+  ELSE '| a\\|b | k' || k || CASE WHEN k % 2 = 1 THEN ' | c |' || CHR(10) || '| --- | --- | --- |' ELSE ' |' || CHR(10) || '| --- | --- |' END END AS x FROM h)
+SELECT doc, MD5(STRING_AGG(x, '' ORDER BY k) || CHR(10)) AS md5 FROM p GROUP BY doc""")
+def export_md_tables(spark, d):
+    """Tables of one row, of two or three cells, some of which go on with the one before."""
+    k = F.col("o_orderkey")
+    cells = F.concat(F.lit("a|b\tk"), k.cast("string"), F.when(k % 2 == 1, "\tc").otherwise(""))
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("doc"), k.alias("k"), F.when(k % 3 == 0, "table").otherwise("paragraph").alias("kind"), F.lit(1).alias("level"), F.when(k % 3 == 0, cells).otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("text"), (k % 2 == 0).alias("goes"))
+    return sinks.markdown(rows, "doc", "k", continues="goes").select("doc", F.md5("content").alias("md5"))
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0), o AS (SELECT o_orderkey, o_custkey IN (SELECT * FROM c) AS gone FROM orders)
+SELECT 'orders' AS "table", COUNT(*) FILTER (WHERE NOT gone) AS left_rows FROM o UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o WHERE gone) UNION ALL SELECT 'customer', COUNT(*) FILTER (WHERE c_custkey % 4 <> 0) FROM customer""")
+def cascade_tables(spark, d):
+    """Customers go, their orders with them, and the orders' parts."""
+    tables = {"customer": (t(spark, d, "customer"), "c_custkey", "c_custkey"), "orders": (t(spark, d, "orders"), "o_orderkey", "o_custkey"), "lineitem": (t(spark, d, "lineitem"), "l_linenumber", "l_orderkey")}
+    gone = t(spark, d, "customer").where("c_custkey % 4 = 0").select("c_custkey")
+    left = store.cascaded(tables, gone, "c_custkey", {"lineitem": "orders"})
+    counts = [df.agg(F.count("*").alias("left_rows")).select(F.lit(name).alias("table"), "left_rows") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""SELECT 'recent' AS mode, p_partkey FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50) UNION ALL SELECT 'progress', p_partkey FROM (SELECT * FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 50) UNION ALL SELECT 'name', p_partkey FROM (SELECT * FROM part ORDER BY LOWER(p_type), p_partkey LIMIT 50)""")
+def proj_sorted(spark, d):
+    """The first fifty by each mode; types are of one letter case and blanks, where a reader's order and code points agree."""
+    rows = t(spark, d, "part").select("p_partkey", F.lower("p_type").alias("name"), F.col("p_size").alias("progress"), F.col("p_retailprice").alias("updated_at"))
+    modes = [store.listed(rows, by, 50, "p_partkey").select(F.lit(by).alias("mode"), "p_partkey") for by in ("recent", "progress", "name")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+@query("SELECT o_orderkey, o_custkey % 3 <> 0 AND o_orderpriority <> '1-URGENT' AS hit FROM orders")
+def batch_split(spark, d):
+    """A batch's hits and misses by two keys."""
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    hits, misses = store.split(orders, orders.where("o_custkey % 3 <> 0 and o_orderpriority <> '1-URGENT'"), "o_custkey", "o_orderpriority")
+    return hits.select("o_orderkey", F.lit(True).alias("hit")).unionByName(misses.select("o_orderkey", F.lit(False).alias("hit")))

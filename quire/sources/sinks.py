@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import escape_html, quote_field, trim_all
+from quire.functions.text import escape_html, quote_field, table_grid, trim_all
 
 
 def _joined(rows: DataFrame, doc: str, order: str, piece: Column, between: str) -> DataFrame:
@@ -27,18 +27,46 @@ def plain_text(rows: DataFrame, doc: str, order: str, text: str = "text", betwee
     return _joined(rows, doc, order, F.coalesce(F.col(text), F.lit("")), between).withColumn("content", F.concat("content", F.lit("\n")))
 
 
-def markdown(rows: DataFrame, doc: str, order: str, kind: str = "kind", level: str = "level", text: str = "text") -> DataFrame:
-    """Headings by level, list items, fences longer than any run of back-ticks inside, other text as it is."""
+def _table_lines(grid: Column, width: Column) -> Column:
+    """Rows of cells as lines, padded to `width` cells; a bar or a line end inside a cell would end it."""
+    cell = lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    padded = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r))))
+    return F.transform(grid, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(padded(r), cell), " | "), F.lit(" |")))
+
+
+def markdown(rows: DataFrame, doc: str, order: str, kind: str = "kind", level: str = "level", text: str = "text", continues: str | None = None) -> DataFrame:
+    """Headings by level, list items, fences longer than any run of back-ticks inside, tables, other text as it is.
+
+    A table is printed cells between tabs, its first row the head. With the column `continues`, the rows of a table that goes on with
+    the one right before it are put under that, padded to its width, without a head of their own.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     longest = F.array_max(F.transform(F.concat(F.array(F.lit("``")), F.regexp_extract_all(body, F.lit("(`+)"), 1)), F.length))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    grid, goes_on, first_width = table_grid(body), F.lit(False), F.lit(0)
+    width = F.size(F.get(grid, F.lit(0)))
+    if continues is not None:
+        along = Window.partitionBy(doc).orderBy(order)
+        on = F.coalesce(F.col(continues), F.lit(False)) & (F.col(kind) == "table")
+        rows = rows.withColumn("_goes_on", on & F.coalesce(F.lag(kind).over(along) == "table", F.lit(False)))
+        rows = rows.withColumn("_head_width", F.last(F.when(~F.col("_goes_on"), width), ignorenulls=True).over(along)).withColumn("_at", F.row_number().over(along))
+        goes_on, first_width = F.col("_goes_on"), F.col("_head_width")
+    lines = _table_lines(grid, F.greatest(width, first_width))
+    head = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    headed = F.concat(F.slice(lines, 1, 1), F.array(head), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
     block = (
         F.when(F.col(kind) == "heading", F.concat(F.repeat(F.lit("#"), F.col(level)), F.lit(" "), body))
         .when(F.col(kind) == "list", F.concat(F.lit("- "), body))
         .when(F.col(kind) == "code", F.concat(fence, F.lit("\n"), body, F.lit("\n"), fence))
+        .when((F.col(kind) == "table") & goes_on, F.array_join(lines, "\n"))
+        .when(F.col(kind) == "table", F.array_join(headed, "\n"))
         .otherwise(body)
     )
-    return _joined(rows, doc, order, block, "\n\n").withColumn("content", F.concat("content", F.lit("\n")))
+    if continues is None:
+        out = _joined(rows, doc, order, block, "\n\n")
+    else:
+        out = _joined(rows, doc, order, F.concat(F.when(F.col("_at") == 1, "").when(goes_on, "\n").otherwise("\n\n"), block), "")
+    return out.withColumn("content", F.concat("content", F.lit("\n")))
 
 
 def html(rows: DataFrame, doc: str, order: str, kind: str = "kind", level: str = "level", text: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import hashing
-from quire.operators import content, glossary, keys
+from quire.functions import facts, hashing
+from quire.operators import content, glossary, keys, store
 from quire.sources import readers, sinks
 
 
@@ -76,3 +76,27 @@ def test_answers_again(spark):
     assert {k: (r["translated_text"], r["status"], r["suggested_text"]) for k, r in put.items()} == {2: ("n", "edited", None), 3: ("n", "edited", None)}
     kept = {r["id"]: (r["suggested_text"], r["suggested_at"]) for r in content.answered_again(blocks, answers, "id", False, "m", F.lit(9)).collect()}
     assert kept == {1: ("a", 9), 2: ("n", 9)}
+
+
+def test_tables_in_markdown(spark):
+    rows = [(1, 1, "table", "a\tb|c\nd", True), (1, 2, "table", "e", True), (1, 3, "paragraph", "p", None), (1, 4, "table", "f\tg", True), (2, 1, "table", None, None)]
+    df = spark.createDataFrame(rows, "doc int, n int, kind string, text string, goes boolean").withColumn("level", F.lit(1))
+    got = {r["doc"]: r["content"] for r in sinks.markdown(df, "doc", "n", continues="goes").collect()}
+    assert got[1] == "| a | b\\|c |\n| --- | --- |\n| d |  |\n| e |  |\n\np\n\n| f | g |\n| --- | --- |\n"
+    assert got[2] == "|  |\n| --- |\n"
+    assert "| e |\n| --- |\n" in {r["doc"]: r["content"] for r in sinks.markdown(df, "doc", "n").collect()}[1]
+
+
+def test_cascades_splits_and_sorts(spark):
+    parents, mid = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(10, 1), (20, 2), (30, None)], "id int, up int")
+    leaf = spark.createDataFrame([(100, 10), (200, 20), (300, None)], "id int, up int")
+    left = store.cascaded({"mid": (mid, "id", "up"), "leaf": (leaf, "id", "up")}, parents.where("id = 1"), "id", {"leaf": "mid"})
+    assert [sorted(r["id"] for r in df.collect()) for df in left.values()] == [[20, 30], [200, 300]]
+    hits, misses = store.split(mid, spark.createDataFrame([(1,), (None,), (1,)], "up int"), "up")
+    assert [r["id"] for r in hits.collect()] == [10] and sorted(r["id"] for r in misses.collect()) == [20, 30]
+    named = spark.createDataFrame([(1, "b"), (2, "Zebra"), (3, "a"), (4, "Äpfel")], "id int, name string")
+    assert [r["name"] for r in store.listed(named, "name", 3, "id").collect()] == ["a", "Äpfel", "b"]
+    with pytest.raises(ValueError):
+        store.listed(named, "size", 3, "id")
+    rules = spark.createDataFrame([("url", True), (None, True), (None, False), (None, None)], "r string, a boolean")
+    assert [r[0] for r in rules.select(facts.skip_rule_for(F.col("r"), F.col("a"))).collect()] == ["url", "alreadyTarget", None, None]

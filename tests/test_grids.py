@@ -128,3 +128,20 @@ def test_a_rest_follows_the_server_and_ends_with_an_answer(spark):
     df = spark.createDataFrame(rows, "k int, at long, outcome string, retry_after long, resets_at long, tokens_reset_at long, draw double")
     got = folds.run(df, ["k"], ["at"], cooldowns.cooldowns()).orderBy("k", "at").collect()
     assert [(r["until"], r["reason"], r["failures"]) for r in got] == [(2_505, "server", 1), (2_000, "server", 1), (9_010, "rate_limit", 2), (1_020, "rate_limit", 3), (9_000_000, "quota", 4), (0, None, 4), (0, None, 4), (32_050, "server", 5), (0, None, 0)]
+
+
+def test_tables_need_edges_that_recur(spark):
+    rows = [(b, k, 10.0, [(0.0, 20.0, "a"), (100.0 + k, 20.0, "b "), (200.0 if b == 1 else 150.0 + 30 * k, 20.0, None)]) for b in (1, 2) for k in range(3)] + [(3, 0, 10.0, [(0.0, 5.0, "x"), (50.0, 5.0, "y")]), (4, 0, None, None), (4, 1, 10.0, [(0.0, 5.0, "x")])]
+    lines = spark.createDataFrame(rows, "block int, n int, size double, runs array<struct<x:double,w:double,text:string>>")
+    got = {r["block"]: (r["columns"], r["rows"]) for r in grids.aligned(lines, "block", "n").collect()}
+    # a run that begins left of the columns' mean stays in the cell before
+    assert got == {1: ([101.0, 200.0], [["ab", "", ""], ["a", "b", ""], ["a", "b", ""]]), 2: ([101.0], [["ab", ""], ["a", "b"], ["a", "b"]])}
+    assert grids.aligned(lines.limit(0), "block", "n").count() == 0
+
+
+def test_three_columns_are_read_one_after_the_other_below_a_title(spark):
+    lines = [(1, "title", 20.0, 0.0, 560.0)] + [(1, f"c{c}r{r}", 20.0 + 190 * c, 20.0 + r, 150.0) for r in range(6) for c in range(3)] + [(2, "only", 5.0, 5.0, 5.0), (3, "none", None, None, None)]
+    df = spark.createDataFrame(lines, "page int, line string, x double, y double, w double").withColumn("width", F.lit(600.0))
+    got = grids.reading_order(df, "page", "line", "width").orderBy("page", "position").collect()
+    assert [r["line"] for r in got] == ["title", *[f"c{c}r{r}" for c in range(3) for r in range(6)], "only", "none"]
+    assert {r["column"] for r in got if r["zone"] == 2} == {0, 1, 2}
