@@ -240,16 +240,16 @@ def narrow_brackets(text: Column) -> Column:
     return F.translate(text, WIDE, NARROW)
 
 
-def is_source_term(inner: Column, source: Column) -> Column:
-    """Short, term-like, and a part of the source text, letter case aside."""
+def is_source_term(inner: Column, source: Column, least: int = 2) -> Column:
+    """Short (`least` characters at least), term-like, and a part of the source text, letter case aside."""
     t = trim_all(inner)
-    term = (F.length(t) >= 2) & t.rlike(TERM_INNER) & (F.size(F.split(blanks(t), " +")) <= 6) & ~t.endswith(".")
+    term = (F.length(t) >= least) & t.rlike(TERM_INNER) & (F.size(F.split(blanks(t), " +")) <= 6) & ~t.endswith(".")
     return F.coalesce(term & F.contains(F.lower(source), F.lower(t)), F.lit(False))
 
 
-def term_pairs(text: Column, source: Column) -> Column:
+def term_pairs(text: Column, source: Column, least: int = 2) -> Column:
     """array<struct<source_term, target_term>> of the annotations `Target(Source)` whose inside the source text has."""
     flat = narrow_brackets(text)
     pairs = F.arrays_zip(F.regexp_extract_all(flat, F.lit(ANNOTATION), 1).alias("b"), F.regexp_extract_all(flat, F.lit(ANNOTATION), 2).alias("i"))
     made = F.transform(pairs, lambda p: F.struct(trim_all(p["i"]).alias("source_term"), trim_all(p["b"]).alias("target_term")))
-    return F.filter(made, lambda p: is_source_term(p["source_term"], source))
+    return F.filter(made, lambda p: is_source_term(p["source_term"], source, least))

@@ -151,6 +151,21 @@ def plain(value):
     return value
 
 
+ODD = {
+    "item_term_pairs": ("benchmark", "item_id long, text string", [(1, "A by"), (2, "Abc\n def"), (3, None), (4, ""), (5, "a1 x"), (6, "Katze")]),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_query_equals_oracle_on_odd_rows(spark, tmp_path, name):
+    table, schema, made = ODD[name]
+    spark.createDataFrame(made, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES[name]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want) and want
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_oracle(spark, sf, duck, name):
     got = registry.QUERIES[name](spark, sf)

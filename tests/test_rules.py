@@ -84,6 +84,8 @@ def test_fragments(spark):
     assert fragments.link_parts("see here http://a.b", [("here", "http://a.b"), ("", "http://a.b")]) == [{"text": "see ", "url": None}, {"text": "here", "url": "http://a.b"}, {"text": " ", "url": None}, {"text": "http://a.b", "url": "http://a.b"}]
     pairs = values(spark, ["Die Katze（cat） und (x) Hund (bird)"], lambda x: fragments.term_pairs(x, F.lit("A Cat")))
     assert [tuple(p) for p in pairs[0]] == [("cat", "Katze")]
+    one = ["Ein (A) und Katze (cat)"]
+    assert [[p.source_term for p in values(spark, one, lambda x, k=k: fragments.term_pairs(x, F.lit("A Cat"), least=k))[0]] for k in (1, 2)] == [["A", "cat"], ["cat"]]
     assert values(spark, ["ÉTÉ  là", None], fragments.search_key) == ["ete la", None]
     assert values(spark, ["ﺍ", "plain", None], fragments.fold_forms) == ["ا", "plain", None]
 
