@@ -281,11 +281,22 @@ def error_kind(status: Column, body: Column) -> Column:
     return F.when(status == 429, F.when(spent, "quota").otherwise("rate_limit")).when(status >= 500, "server").otherwise(F.coalesce(kinds[status.cast("int")], F.lit("unknown")))
 
 
-def byte_label(size: Column, digits: int = 1) -> Column:
+def byte_label(size: Column, digits: int = 1, even: bool = False) -> Column:
+    """`10 B`, `1.5 kB`. A value just between two labels has the larger one, or with `even` the one whose last digit is even."""
     units = F.array(*map(F.lit, ("B", "kB", "MB", "GB", "TB")))
-    power = F.least(F.floor(F.log(1024.0, size) + 1e-12), F.lit(4)).cast("int")
-    value = size / F.pow(F.lit(1024.0), power)
-    shown = F.when(power == 0, F.format_string("%.0f", value.cast("double"))).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+    # comparisons, as a logarithm just below a power of 1024 rounds up to it
+    power = sum((F.when(size >= 1024.0**k, 1).otherwise(0) for k in range(1, 5)), F.lit(0))
+    value = size.cast("double") / F.pow(F.lit(1024.0), power)
+
+    def number(places: int) -> Column:
+        if not even:
+            return F.format_string(f"%.{places}f", value)
+        # the scale by a power of two is exact: halves of the last place are odd there
+        halves = value * 2.0 ** (places + 1)
+        tie = (halves == F.floor(halves)) & (halves % 2 == 1)
+        return F.format_string(f"%.{places}f", F.when(tie, F.rint(value * 10.0**places) / 10.0**places).otherwise(value))
+
+    shown = F.when(power == 0, number(0)).otherwise(number(digits))
     return F.when(size > 0, F.concat(shown, F.lit(" "), F.element_at(units, power + 1))).otherwise("0 B")
 
 

@@ -114,7 +114,8 @@ def ev_error_kinds(spark, d):
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal <= 0 THEN '0 B' WHEN s_acctbal * 100 < 1024 THEN PRINTF('%.0f B', s_acctbal * 100) WHEN s_acctbal * 100 < 1048576 THEN PRINTF('%.1f kB', s_acctbal * 100 / 1024) ELSE PRINTF('%.1f MB', s_acctbal * 100 / 1048576) END AS label FROM supplier")
 def size_labels(spark, d):
-    return t(spark, d, "supplier").select("s_suppkey", rules.byte_label(F.col("s_acctbal") * 100).alias("label"))
+    """PRINTF has the even digit where a value is just between two labels."""
+    return t(spark, d, "supplier").select("s_suppkey", rules.byte_label(F.col("s_acctbal") * 100, even=True).alias("label"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 2 THEN 9 ELSE o_orderkey % 4 + 2 END::BIGINT AS n FROM orders")

@@ -153,6 +153,7 @@ def plain(value):
 
 ODD = {
     "item_term_pairs": ("benchmark", "item_id long, text string", [(1, "A by"), (2, "Abc\n def"), (3, None), (4, ""), (5, "a1 x"), (6, "Katze")]),
+    "size_labels": ("supplier", "s_suppkey long, s_acctbal double", list(enumerate([6177.28, 6182.4, 10.24, 10.23, 0.025, 0.035, 0.005, 0.0, -1.0, 10485.75, 10485.76, 13107.2]))),
 }
 
 

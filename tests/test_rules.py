@@ -38,6 +38,10 @@ def test_pages(spark):
     score = rules.layout_score(*[F.lit(x) for x in (3, 0.2, 0.0, 90, 1.0, 0, 4)])
     assert tuple(spark.range(1).select(score.alias("s")).first().s) == (1.0, ["columns3", "overlap", "rotation", "images"], True)
     assert values(spark, [0, 10, 1536, 5 * 1024**3], rules.byte_label, "long") == ["0 B", "10 B", "1.5 kB", "5.0 GB"]
+    ties = [617728, 618240, 617729, 1023, 1024, 1024**2 - 1, 1024**2]
+    assert values(spark, ties, rules.byte_label, "long") == ["603.3 kB", "603.8 kB", "603.3 kB", "1023 B", "1.0 kB", "1024.0 kB", "1.0 MB"]
+    assert values(spark, ties, lambda x: rules.byte_label(x, even=True), "long") == ["603.2 kB", "603.8 kB", "603.3 kB", "1023 B", "1.0 kB", "1024.0 kB", "1.0 MB"]
+    assert values(spark, [1023.9999999999999, 0.4], rules.byte_label, "double") == ["1024 B", "0 B"]
     assert values(spark, ["a  b", "a b", "a\tb\t"], rules.split_row) == [["a", "b"], None, ["a", "b"]]
 
 
