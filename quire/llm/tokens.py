@@ -17,7 +17,7 @@ import numpy as np
 
 END_ID = 2
 #: Chunks and pieces remembered by a Python worker; beyond them the memory is emptied and filled again.
-CHUNKS, PIECES = 400_000, 600_000
+CHUNKS, PIECES = 100_000, 100_000
 #: Characters of the longest chunk or piece that is remembered.
 LONGEST = 200
 # The normaliser and pre-tokenizer of word_bpe_49k.json, which the shorter way below is for.
