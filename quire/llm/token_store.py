@@ -203,13 +203,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.string()] + [pa.int64()] * 5, strict=True)], names=["file", "part", "number", "docs", "ids", "bytes"])
 
         for b in batches:
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for ident, tokens in zip(b.column(0).to_pylist(), encode.documents(b.column(1), END_ID), strict=True):
                 if writer is None:
                     fs.create_dir(f"{folder}/files", recursive=True)
                     name = f"{part:08d}-{number:06d}-{uuid.uuid4().hex}.qpfor"
                     stream = fs.open_output_stream(f"{folder}/files/{name}")
                     writer = Writer(stream, percentile)
-                writer.add(ident, encode.document(text, END_ID))
+                writer.add(ident, tokens)
                 if writer.n >= FILE_IDS:
                     yield close()
         if writer is not None:
