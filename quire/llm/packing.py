@@ -38,7 +38,7 @@ class Packer:
         for start in range(0, whole, self.length):
             self.done.append([(doc, start, ids[start : start + self.length])])
         if whole < len(ids):
-            self.place(doc, whole, ids[whole:])
+            self.place(doc, whole, ids[whole:].copy())  # an open window holds a piece's ids, not all those encoded with them
 
     def place(self, doc: tuple, start: int, ids: np.ndarray) -> None:
         k = bisect_right(self.used, (self.length - len(ids), self.opened)) - 1
@@ -108,8 +108,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, n = chunks(tokenizer or public()), Packer(length, spaces, max_pad), TaskContext.get().partitionId() << 33
         for b in batches:
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.ascontiguousarray(encode.document(text, END_ID))
+            for ident, ids in zip(b.column(0).to_pylist(), encode.documents(b.column(1), END_ID), strict=True):
                 packer.add((ident, len(ids)), ids)
             if done := packer.take():
                 yield rows(done, n)

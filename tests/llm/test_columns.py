@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from quire.llm import tokens
+from quire.llm import packing, tokens
 
 ODD = [None, "", " ", "a", "\n a \n", "word " * 30_000, "x" * 50_000, "0" * 70, "Wort" * 9 + "! " + "ÀÉß" * 9, "\x1c.\x1d.", "Ünḯ ½²<|endoftext|>a", "it's 3.14 we'll", "İΣ 你好 \U0001f600", "ÀÉ ÿ ßx µ ª º × ÷ a×b ¼¾ ²³¹ 12ab", "don't 'S 'Re '' a'b", "a b c\u0085d", "#@!a1b2", "ﬁx Å é", "a\0b \0", "é"]
 
@@ -43,3 +43,14 @@ def test_a_distinct_piece_is_encoded_once():
     text = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(6)) for k in range(120_000))
     got = list(encode.documents(pa.array([text] * 4)))
     assert calls[0] == 120_000 and all((x == got[0]).all() for x in got)
+
+
+def test_open_windows_hold_their_own_ids(encode):
+    packer, held = packing.Packer(), 0
+    for text in ["Wort und Satz " * 5_000, *["kurz"] * 20]:
+        for ids in encode.documents(pa.array([text] * 3)):
+            packer.add((0, len(ids)), ids)
+    packer.take()
+    for window in packer.windows.values():
+        held += sum(p[2].nbytes if p[2].base is None else p[2].base.nbytes for p in window)
+    assert packer.windows and held <= packer.spaces * packer.length * 4
